@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, url_filter
+from . import language_id, mixing, token_files, topk, url_filter
 from .common import read_table
 
 #: The host rules of the url query.
@@ -16,6 +17,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=16)
+    return token_files.read_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_of(*URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -24,7 +37,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_url_filter, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op6_language_id, op9_url_filter, op10_topk)}
 
 
 def _hits(terms: tuple[str, ...]) -> str:
