@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, token_files, topk, url_filter
+from . import byte_bpe, language_id, mixing, token_files, topk, url_filter
 from .common import read_table
 
 #: The host rules of the url query.
@@ -29,6 +29,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_of(*URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -37,7 +42,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op6_language_id, op9_url_filter, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op6_language_id, op7_byte_bpe, op9_url_filter, op10_topk)}
 
 
 def _hits(terms: tuple[str, ...]) -> str:

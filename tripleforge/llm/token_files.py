@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,10 @@ from .wavelet import WaveletMatrix
 
 #: Bytes of UTF-8 text of a file's documents; a longer document has a file of its own.
 FILE_BYTES = 8 << 20
-#: Words of which a Python worker keeps the ids at most.
-KEPT_WORDS = 400_000
-#: White space other than a single space between two other characters.
-_ODD_SPACE = re.compile(r"  |[^\S ]")
+#: Words of which a Python worker keeps the ids at most, in two generations.
+KEPT_WORDS = 1_200_000
+#: White space beside a space.
+_ODD_SPACE = re.compile(r" \s|[^\S ] ")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _STATE: dict = {}
 
@@ -40,6 +41,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype, self.end = dtype, np.array([end_id], dtype=dtype).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if not _ODD_SPACE.search(text) and text[:1] != " " and text[-1:] != " ":
@@ -51,17 +53,51 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as bytes."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for words in cut for w in words[1:] if w not in known})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, dtype=self.dtype).tobytes()
+        known, older = self.known, self.older
+        fresh = []
+        for word in set().union(*cut):
+            if word not in known:
+                if (got := older.get(word)) is None:
+                    fresh.append(word)
+                else:
+                    known[word] = got
+        joined = {word: atoms for word in fresh if (word[-1:] in ",." or "\n" in word) and len(atoms := self._atoms(word)) > 1}
+        atoms = {a for atoms in joined.values() for a in atoms}
+        atoms.update(word for word in fresh if word not in joined)
+        self._learn([atom for atom in atoms if atom not in known])
+        for word, atoms in joined.items():
+            known[word] = b"".join([known[atom] for atom in atoms])
         firsts = self.tokenizer.encode_batch_fast([words[0] for words in cut], add_special_tokens=False)
-        look = known.__getitem__
-        return [np.array(first.ids, dtype=self.dtype).tobytes() + b"".join(map(look, words[1:])) + self.end for first, words in zip(firsts, cut, strict=True)]
+        look, kind = known.__getitem__, "H" if self.dtype == np.uint16 else "I"
+        out = [array(kind, first.ids).tobytes() + b"".join(map(look, words[1:])) + self.end for first, words in zip(firsts, cut, strict=True)]
+        if len(known) > KEPT_WORDS // 2:
+            self.known, self.older = {}, known
+        return out
+
+    @staticmethod
+    def _atoms(word: str) -> list[str]:
+        """What a word's ids are put together from: the parts at single line breaks, the later ones with the break, and a comma or full stop that ends a run of letters.
+
+        All begin matches of the pattern. An atom that begins with a line break stands for itself, others for themselves after a space, marks after two breaks for themselves.
+        """
+        lines = word.split("\n")
+        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [word]
+        out = []
+        for i, x in enumerate(lines):
+            mark = x[-1] in ",." and x[-2:-1].isalpha()
+            out.append(("\n" if i else "") + (x[:-1] if mark else x))
+            if mark:
+                out.append("\n\n" + x[-1])
+        return out
+
+    def _learn(self, atoms: list[str]) -> None:
+        kind = "H" if self.dtype == np.uint16 else "I"
+        for at in range(0, len(atoms), 20_000):
+            some = atoms[at : at + 20_000]
+            texts = [a[2:] if a[:2] == "\n\n" and len(a) == 3 else a if a[:1] == "\n" else " " + a for a in some]
+            for atom, got in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[atom] = array(kind, got.ids).tobytes()
 
 
 def _encoder(path: str, end_id: int, dtype: type) -> Encoder:
