@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, token_files, topk, url_filter
+from . import byte_bpe, chat, language_id, mixing, token_files, topk, url_filter
 from .common import read_table
 
 #: The host rules of the url query.
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +46,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op6_language_id, op7_byte_bpe, op9_url_filter, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_token_files, op6_language_id, op7_byte_bpe, op9_url_filter, op10_topk)}
 
 
 def _hits(terms: tuple[str, ...]) -> str:
