@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language_id, mixing, token_files, topk, url_filter
+from . import byte_bpe, chat, language_id, mixing, pii, token_files, topk, url_filter
 from .common import read_table
 
 #: The host rules of the url query.
@@ -21,6 +21,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_field(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=16)
     return token_files.read_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -46,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_token_files, op6_language_id, op7_byte_bpe, op9_url_filter, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_pii, op4_token_files, op6_language_id, op7_byte_bpe, op9_url_filter, op10_topk)}
 
 
 def _hits(terms: tuple[str, ...]) -> str:
