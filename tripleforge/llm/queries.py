@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, language_id, mixing, pii, token_files, topk, url_filter
+from . import byte_bpe, chat, embedding_dedup, language_id, mixing, ngram_join, pii, token_files, topk, url_filter
 from .common import read_table
 
 #: The host rules of the url query.
@@ -32,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
@@ -56,7 +60,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_pii, op4_token_files, op6_language_id, op7_byte_bpe, op8_embedding_dedup, op9_url_filter, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_pii, op4_token_files, op5_ngram_join, op6_language_id, op7_byte_bpe, op8_embedding_dedup, op9_url_filter, op10_topk)}
 
 
 def _hits(terms: tuple[str, ...]) -> str:
@@ -80,6 +84,21 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN strict_hits >= 1 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS g FROM w),
+d AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s) GROUP BY g),
+e AS (SELECT rep, n, unnest(g) AS x FROM d),
+l AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS n, rep AS m FROM d WHERE n > 0 UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN d ON list_sort(s.g) = d.g AND d.n > 0 LEFT JOIN c ON c.n = d.rep""",
     "op8_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, embedding IS NOT NULL AND len(embedding) > 0
