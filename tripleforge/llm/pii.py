@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -272,11 +272,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def fit_field(docs: DataFrame, rows: int = 2_000, chars: int = 4_096) -> SkipChainField:
-    """A field trained on at most rows passages of chars characters of documents with a digit or an @, by the order of a hash of their ids."""
-    h = F.xxhash64("doc_id", F.lit(17))
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(h.alias("h"), F.substring("text", F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - 256), F.lit(chars)).alias("text"))
-    return SkipChainField().fit([r.text for r in some.orderBy("h", "text").limit(rows).collect()])
+#: Passages that train a field at most, the characters of each, and the groups in which they are drawn.
+TRAIN_ROWS, TRAIN_CHARS, SALTS = 1_024, 1_024, 64
+
+
+def fit_field(docs: DataFrame, rows: int = TRAIN_ROWS) -> SkipChainField:
+    """A field trained on at most rows passages of documents with a digit or an @, the first by a hash of their ids in each of SALTS groups."""
+    start = F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - TRAIN_CHARS // 4)
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit(17)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(SALTS)).alias("salt"), F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
+    first = some.withColumn("n", F.row_number().over(Window.partitionBy("salt").orderBy("h", "text"))).where(F.col("n") <= max(1, rows // SALTS))
+    return SkipChainField().fit([r.text for r in sorted(first.select("h", "text").collect())])
 
 
 def find_pii(docs: DataFrame, field: SkipChainField, batch_chars: int = 1 << 20) -> DataFrame:
