@@ -19,6 +19,8 @@ SLOT_BITS, CHUNKS = 21, 32
 #: Partial sketches that one task adds up at most.
 MERGE = 16
 DOCS_AT_ONCE = 1_024
+#: Bits of the filter of texts to compare.
+FILTER_BITS = 1 << 22
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -130,7 +132,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = [x.view(np.int64) for x in shingle_sets(some.column(1).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    # a bitmap of hashes, of fixed size, keeps most other texts from the shuffle; the join is exact
+    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    marks = wanted.select((slot + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for row in marks.collect():
+        bits[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, (slot % 8).cast("int")) == 1
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(marked).join(wanted, "doc", "left_semi")
     return texts.mapInArrow(made, "doc long, shingles array<long>")
 
 
@@ -145,8 +155,10 @@ def _possible(percent: int, a: str, b: str):
     return _alike(percent, left, n_a, n_b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are alike, compared whole."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = materialize(sets_of(docs, wanted, k), "ngram")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(_alike(percent, same, F.size("x"), F.size("y"))).select("a", "b")
@@ -171,14 +183,18 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(count_sketch(docs, k))
     found = materialize(prefixes(docs, k, percent, sketch), "ngram")
-    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix")), "ngram")
-    groups = materialize(reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix")), "ngram")
-    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "key"))
+    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep")), "ngram")
+    groups = materialize(reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "ngram")
+    # a group's prefix is that of its first document; rows of one doc_id with other texts are told apart by the hash
+    heads = groups.select(F.col("gid").alias("doc_id"), "n", "p1", "p2")
+    rows = found.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "key"))
+    twice = rows.groupBy("key").agg(F.count("*").alias("lists")).where("lists > 1").select("key")
+    rows = materialize(rows.join(twice, "key", "left_semi"), "ngram")
     one = F.struct("n", "gid", "pos")
     heads = rows.groupBy("key").agg(F.min(one).alias("least"), F.max(one).alias("most")).where("least.gid <> most.gid").select("key", F.col("least.n").alias("h_n"), F.col("least.gid").alias("h_gid"), F.col("least.pos").alias("h_pos"))
-    shared = materialize(rows.join(heads, "key"), "ngram")
+    shared = rows.join(heads, "key")
     many = groups.where("members > 1").select("n", "p1", "p2", "gid")
-    inside = reps.join(many, ["n", "p1", "p2"]).select("gid", "rep", "n")
+    inside = materialize(reps.join(many, ["n", "p1", "p2"]).select("gid", "rep", "n"), "ngram")
 
     # members of groups: most groups are their only member
     more = inside.where("gid <> rep").select("gid", "rep")
@@ -189,9 +205,7 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     near = shared.where((F.col("gid") != F.col("h_gid")) & _possible(percent, "", "h_")).select(F.col("h_gid").alias("g"), F.col("gid").alias("h")).distinct()
     first = materialize(expanded(near).union(inside.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "ngram")
-    wanted = shared.select(F.col("gid").alias("doc")).union(inside.select("rep")).distinct()
-    sets = materialize(sets_of(docs, wanted, k), "ngram")
-    links = materialize(verified(first, sets, percent), "ngram")
+    links = materialize(verified(first, docs, k, percent), "ngram")
     reached = materialize(connected_components(links), "ngram")
 
     # what is left: pairs that share a shingle of their prefixes and are not in one component yet
@@ -204,8 +218,8 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # each pair once: the smaller set first
     ordered = F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")
     rest = x.join(y, "key").where(ordered & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_")).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    links = materialize(links.union(verified(rest, sets, percent)), "ngram")
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "ngram")
+    links = materialize(links.union(verified(rest, docs, k, percent)), "ngram")
     reached = connected_components(links).withColumnRenamed("node", "rep")
 
     named = reps.select("n", "s1", "s2", "rep").join(reached, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
