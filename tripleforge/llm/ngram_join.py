@@ -21,6 +21,8 @@ MERGE = 16
 DOCS_AT_ONCE = 1_024
 #: Bits of the filter of texts to compare.
 FILTER_BITS = 1 << 22
+#: The columns of a set's 256 parities: whether an odd number of its shingles fall in each class of hashes.
+ODD = ("o1", "o2", "o3", "o4")
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -95,7 +97,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """(doc_id, n, s1, s2, p1, p2, prefix): the size and hash of each document's set, and its prefix with its hash.
+    """(doc_id, n, s1, s2, p1, p2, o1 to o4, prefix): the size, hash and parities of each document's set, and its prefix with its hash.
 
     Shingles are in the order of their slot's count, then of their hash; any two sets that are alike enough
     share one among the first n - ceil(percent * n / 100) + 1.
@@ -106,7 +108,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 some = batch.slice(at, DOCS_AT_ONCE)
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[] for _ in range(10)]
                 for x in shingle_sets(some.column(1).to_pylist(), k):
                     n = len(x)
                     order = counts[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | x >> np.uint64(8)
@@ -114,34 +116,37 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
                     prefix = np.sort(order)[:length] if length < 8 or n < 64 else np.sort(np.partition(order, length - 1)[:length])
                     whole, part = xxhash.xxh3_128_digest(x.tobytes()), xxhash.xxh3_128_digest(prefix.tobytes())
                     s, p = np.frombuffer(whole, dtype=np.int64), np.frombuffer(part, dtype=np.int64)
-                    for column, value in zip(rows, (n, int(s[0]), int(s[1]), int(p[0]), int(p[1]), prefix.view(np.int64)), strict=True):
+                    odd = np.packbits((np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                    for column, value in zip(rows, (n, *s.tolist(), *p.tolist(), *odd.tolist(), prefix.view(np.int64)), strict=True):
                         column.append(value)
-                arrays = [pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:5]], pa.array(rows[5], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *arrays], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                arrays = [pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:9]], pa.array(rows[9], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *arrays], names=["doc_id", "n", "s1", "s2", "p1", "p2", *ODD, "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, o1 long, o2 long, o3 long, o4 long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(doc, shingles) of the wanted documents (doc)."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(at, DOCS_AT_ONCE)
-                sets = [x.view(np.int64) for x in shingle_sets(some.column(1).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
-
-    # a bitmap of hashes, of fixed size, keeps most other texts from the shuffle; the join is exact
+    # a bitmap of hashes, of fixed size, passes over most other texts; the join is exact
+    spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     marks = wanted.select((slot + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = bytearray(FILTER_BITS // 8)
     for row in marks.collect():
         bits[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.getbit(byte, (slot % 8).cast("int")) == 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(marked).join(wanted, "doc", "left_semi")
-    return texts.mapInArrow(made, "doc long, shingles array<long>")
+    marked = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bytes(bits), dtype=np.uint8), bitorder="little").view(np.bool_))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(marked.value[batch.column(2).to_numpy()]))
+            for at in range(0, some.num_rows, DOCS_AT_ONCE):
+                part = some.slice(at, DOCS_AT_ONCE)
+                sets = [x.view(np.int64) for x in shingle_sets(part.column(1).to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").withColumn("slot", slot)
+    return texts.mapInArrow(made, "doc long, shingles array<long>").join(wanted, "doc", "left_semi")
 
 
 def _alike(percent: int, same, n_a, n_b):
@@ -155,8 +160,16 @@ def _possible(percent: int, a: str, b: str):
     return _alike(percent, left, n_a, n_b)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are alike, compared whole."""
+def _near(percent: int, a: str, b: str):
+    """Whether the parities let two sets be alike: as many shingles as parities differ stand in one set only."""
+    differ = sum((F.bit_count(F.col(f"{a}{o}").bitwiseXOR(F.col(f"{b}{o}"))) for o in ODD), F.lit(0))
+    return differ * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are alike: by their parities first, and then compared whole."""
+    a, b = (reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *ODD)]) for x in "ab")
+    pairs = materialize(pairs.join(a, "a").join(b, "b").where(_near(percent, "a_", "b_")).select("a", "b").distinct(), "ngram")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = materialize(sets_of(docs, wanted, k), "ngram")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -183,7 +196,7 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(count_sketch(docs, k))
     found = materialize(prefixes(docs, k, percent, sketch), "ngram")
-    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep")), "ngram")
+    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep"), *[F.first(o).alias(o) for o in ODD]), "ngram")
     groups = materialize(reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "ngram")
     # a group's prefix is that of its first document; rows of one doc_id with other texts are told apart by the hash
     heads = groups.select(F.col("gid").alias("doc_id"), "n", "p1", "p2")
@@ -205,21 +218,22 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     near = shared.where((F.col("gid") != F.col("h_gid")) & _possible(percent, "", "h_")).select(F.col("h_gid").alias("g"), F.col("gid").alias("h")).distinct()
     first = materialize(expanded(near).union(inside.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "ngram")
-    links = materialize(verified(first, docs, k, percent), "ngram")
+    links = materialize(verified(first, reps, docs, k, percent), "ngram")
     reached = materialize(connected_components(links), "ngram")
 
     # what is left: pairs that share a shingle of their prefixes and are not in one component yet
     listed = shared.select("key", "pos", "n", "gid").join(more, "gid", "left").select("key", "pos", "n", F.explode(F.array_distinct(F.array("gid", F.coalesce("rep", "gid")))).alias("rep")).distinct()
     listed = listed.union(inside.select(F.xxhash64(F.lit("group"), "gid").alias("key"), F.lit(0).alias("pos"), "n", "rep"))
     listed = listed.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    listed = materialize(listed, "ngram")
     open_ = listed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    listed = materialize(listed.join(open_, "key", "left_semi"), "ngram")
-    x, y = (listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("pos", "n", "rep", "component")]) for side in "xy")
+    listed = materialize(listed.join(open_, "key", "left_semi").join(reps.select("rep", "n", *ODD), ["rep", "n"]), "ngram")
+    x, y = (listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("pos", "n", "rep", "component", *ODD)]) for side in "xy")
     # each pair once: the smaller set first
     ordered = F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")
-    rest = x.join(y, "key").where(ordered & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_")).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    rest = x.join(y, "key").where(ordered & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_") & _near(percent, "x_", "y_")).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "ngram")
-    links = materialize(links.union(verified(rest, docs, k, percent)), "ngram")
+    links = materialize(links.union(verified(rest, reps, docs, k, percent)), "ngram")
     reached = connected_components(links).withColumnRenamed("node", "rep")
 
     named = reps.select("n", "s1", "s2", "rep").join(reached, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
