@@ -21,6 +21,8 @@ MERGE = 16
 DOCS_AT_ONCE = 1_024
 #: Bits of the filter of texts to compare.
 FILTER_BITS = 1 << 22
+#: Further heads of a key that are compared with its rows before all pairs that are left.
+HEADS = 2
 #: The columns of a set's 256 parities: whether an odd number of its shingles fall in each class of hashes.
 ODD = ("o1", "o2", "o3", "o4")
 
@@ -224,11 +226,23 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # what is left: pairs that share a shingle of their prefixes and are not in one component yet
     listed = shared.select("key", "pos", "n", "gid").join(more, "gid", "left").select("key", "pos", "n", F.explode(F.array_distinct(F.array("gid", F.coalesce("rep", "gid")))).alias("rep")).distinct()
     listed = listed.union(inside.select(F.xxhash64(F.lit("group"), "gid").alias("key"), F.lit(0).alias("pos"), "n", "rep"))
-    listed = listed.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    listed = materialize(listed, "ngram")
-    open_ = listed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    listed = materialize(listed.join(open_, "key", "left_semi").join(reps.select("rep", "n", *ODD), ["rep", "n"]), "ngram")
-    x, y = (listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("pos", "n", "rep", "component", *ODD)]) for side in "xy")
+    listed = materialize(listed.join(reps.select("rep", "n", *ODD), ["rep", "n"]), "ngram")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The rows of keys that stand in several components, with their component."""
+        rows = rows.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        return materialize(rows.join(keys, "key", "left_semi"), "ngram")
+
+    columns = ("pos", "n", "rep", "component", *ODD)
+    for turn in range(HEADS):  # one more head a key, by a hash, against the rows of other components
+        listed = still_open(listed)
+        head = listed.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(F.lit(turn), "rep")).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in columns])
+        tried = listed.join(head, "key").where((F.col("component") != F.col("h_component")) & _possible(percent, "", "h_") & _near(percent, "", "h_"))
+        links = materialize(links.union(verified(tried.select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, k, percent)), "ngram")
+        reached = materialize(connected_components(links), "ngram")
+    listed = still_open(listed)
+    x, y = (listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
     # each pair once: the smaller set first
     ordered = F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")
     rest = x.join(y, "key").where(ordered & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_") & _near(percent, "x_", "y_")).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
