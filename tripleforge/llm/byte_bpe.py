@@ -1,27 +1,34 @@
-"""Byte-level BPE by ranks, encoded and decoded with Spark's higher-order functions."""
+"""Byte-level BPE by ranks, encoded with Spark's higher-order functions and decoded by putting pieces together."""
 
 from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, space_pieces
 
-#: Words of the whole corpus whose ids are worked out once and looked up; the others are folded where they stand.
-KEPT_WORDS = 131_072
-#: Bytes of a kept word at most; together with KEPT_WORDS this bounds the literal.
+#: Words of the whole corpus whose ids are worked out once and looked up at most; the others are folded where they stand.
+KEPT_WORDS = 1 << 20
+#: Bytes of a kept word at most; together with KEPT_WORDS this bounds what is broadcast.
 KEPT_BYTES = 48
-NONE = 1 << 30
+#: Words that a task counts before it passes them on, and documents of which it holds the ids at once.
+COUNTED, DOCS_AT_ONCE = 400_000, 512
+#: The rank of a pair that does not merge; ranks are below.
+NONE = 1 << 17
+#: Beside the first and last token, and in place of a word whose ids are not known yet.
 EDGE = 65_535
+HOLE = EDGE.to_bytes(2, "little")
 SPACE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The public split pattern, with white space spelt out as Unicode has it.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: A single space between two other characters: the pattern always begins a match there.
-BREAK = rf" (?<=[^{SPACE}] )(?=[^{SPACE}])"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -42,6 +49,7 @@ class RankTable:
     """
 
     BITS, GROUP_BITS = 20, 17
+    EMPTY = 1 << 62
     FIRST, SECOND = 1_540_483_477, 2_057_263_201  # odd, below 2^31: products with 32 bits stay below 2^63
 
     def __init__(self, tokens: list[bytes]) -> None:
@@ -57,7 +65,7 @@ class RankTable:
         order = np.argsort(first, kind="stable")
         counts = np.bincount(first, minlength=1 << self.GROUP_BITS)
         starts = np.cumsum(counts) - counts
-        self.slots = np.full(1 << self.BITS, -1, dtype=np.int64)
+        self.slots = np.full(1 << self.BITS, self.EMPTY, dtype=np.int64)
         self.displace = np.zeros(1 << self.GROUP_BITS, dtype=np.int64)
         for group in np.argsort(-counts, kind="stable"):
             if not counts[group]:
@@ -67,7 +75,7 @@ class RankTable:
             if len(np.unique(places)) < len(places):
                 raise ValueError("two pairs of a group share their second hash")
             d = 0
-            while (self.slots[places ^ d] != -1).any():
+            while (self.slots[places ^ d] != self.EMPTY).any():
                 d += 1
             self.displace[group] = d
             self.slots[places ^ d] = [int(keys[i]) << 17 | pairs[int(keys[i])] for i in mine]
@@ -77,9 +85,12 @@ class RankTable:
         return (keys * factor >> 24) & ((1 << bits) - 1)
 
 
-def let(value: Column, body) -> Column:
-    """body of value, with value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body, kind: str = "array<bigint>") -> Column:
+    """body of value, an array of the given type, with value worked out once.
+
+    A fold of one element: a transform of one would ask its whole body for its type each time.
+    """
+    return F.aggregate(F.array(value), F.array().cast(kind), lambda _, x: body(x))
 
 
 def constants(spark: SparkSession, **values: tuple[object, str]) -> dict[str, Column]:
@@ -108,6 +119,7 @@ class ByteBpe:
         tokens = read_ranks(path)
         if len(tokens) >= EDGE:
             raise ValueError("ranks of at most 65,534 tokens fit")
+        self.tokens = tokens
         table = RankTable(tokens)
         rank = {t: i for i, t in enumerate(tokens)}
         self.table = constants(
@@ -115,52 +127,51 @@ class ByteBpe:
             slots=(table.slots.tolist(), "array<bigint>"),
             displace=(table.displace.tolist(), "array<bigint>"),
             bytes=([rank[bytes([i])] for i in range(256)], "array<bigint>"),
-            pieces=([t.hex() for t in tokens], "array<string>"),
-            id_hex=([i.to_bytes(4, "little").hex() for i in range(len(tokens))], "array<string>"),
         )
 
-    def bound(self, names: tuple[str, ...], body, **more: Column) -> Column:
-        """body of the struct of the named literals."""
-        literals = self.table | more
-        return let(F.struct(*[literals[n].alias(n) for n in (*names, *more)]), body)
-
     def ranks_of(self, t: Column, pairs: Column) -> Column:
         """The rank of each pair's merge, or NONE."""
 
-        def slot(k: Column) -> Column:
+        def rank(k: Column) -> Column:
             group = F.shiftright(k * RankTable.FIRST, 24).bitwiseAND((1 << RankTable.GROUP_BITS) - 1)
             place = F.shiftright(k * RankTable.SECOND, 24).bitwiseAND((1 << RankTable.BITS) - 1)
-            return F.get(t["slots"], place.bitwiseXOR(F.get(t["displace"], group.cast("int"))).cast("int"))
+            slot = F.get(t["slots"], place.bitwiseXOR(F.get(t["displace"], group.cast("int"))).cast("int"))
+            return F.least(slot.bitwiseXOR(F.shiftleft(k, 17)), F.lit(NONE).cast("bigint"))  # of another pair's slot more than NONE is left
 
-        return F.zip_with(pairs, F.transform(pairs, slot), lambda k, e: F.when(F.shiftright(e, 17) == k, e.bitwiseAND(131_071)).otherwise(F.lit(NONE).cast("bigint")))
+        return F.transform(pairs, rank)
 
     def fold(self, t: Column, word: Column) -> Column:
-        """The ids of one match: its bytes, and then as often as a pair has a rank the leftmost pair of the lowest rank merged."""
-        edge = F.array(F.lit(EDGE).cast("bigint"))
+        """The ids of one match: its bytes, and then as often as a pair has a rank the leftmost pair of the lowest rank merged.
+
+        A token stands as rank << 40 | place << 17 | id: the rank of its merge with the next one, where it began,
+        and its id; so the least of all is the next to merge.
+        """
+        place, own, most = ((1 << 23) - 1) << 17, (1 << 17) - 1, (1 << 23) - 1
+        edge = F.lit(EDGE).cast("bigint")
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        start = F.concat(edge, F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), edge)
+        start = F.concat(F.array(edge), F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), F.array(edge))
 
-        def pairs(ids: Column) -> Column:
-            n = F.size(ids)
-            return F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: a * 65_536 + b)
+        def begun(ids: Column) -> Column:
+            pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(F.coalesce(b, edge)))
+            ranked = F.zip_with(ids, self.ranks_of(t, pairs), lambda i, r: F.shiftleft(r, 40).bitwiseOR(i))
+            return F.transform(ranked, lambda x, i: x.bitwiseOR(F.shiftleft(F.least(i, F.lit(most)).cast("bigint"), 17)))
 
         def merged(state: Column, low: Column) -> Column:
             def at(p: Column) -> Column:
-                ids, ranks = state["ids"], state["ranks"]
-                beside = F.array(F.get(ids, p - 2) * 65_536 + low, low * 65_536 + F.get(ids, p + 1))
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), p - 2), self.ranks_of(t, beside), F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
-                )
+                before, new = F.get(state, p - 2), F.shiftright(low, 40)
+                pairs = F.array(F.shiftleft(before.bitwiseAND(own), 16).bitwiseOR(new), F.shiftleft(new, 16).bitwiseOR(F.get(state, p + 1).bitwiseAND(own)))
+                beside = F.zip_with(self.ranks_of(t, pairs), F.array(before.bitwiseAND(place | own), low.bitwiseAND(place).bitwiseOR(new)), lambda r, x: F.shiftleft(r, 40).bitwiseOR(x))
+                return F.flatten(F.array(F.slice(state, F.lit(1), p - 2), beside, F.slice(state, p + 2, F.size(state))))
 
-            return let(F.array_position(state["ranks"], low).cast("int"), at)
+            # counted, for array_position leaves its loop by an exception, which takes longer than all else here
+            here = low.bitwiseAND(place)
+            return let(F.size(F.filter(state, lambda x: x.bitwiseAND(place) < here)) + 1, at)
 
         def step(state: Column, _: Column) -> Column:
-            return let(F.array_min(state["ranks"]), lambda low: F.when(low == NONE, state).otherwise(merged(state, low)))
+            return let(F.array_min(state), lambda low: F.when(low >= NONE << 40, state).otherwise(merged(state, low)))
 
         def folded(ids: Column) -> Column:
-            state = F.struct(ids.alias("ids"), self.ranks_of(t, pairs(ids)).alias("ranks"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(ids) - 2), state, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+            return F.aggregate(F.sequence(F.lit(1), F.size(ids) - 2), begun(ids), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(own)))
 
         return let(start, folded)
 
@@ -168,62 +179,157 @@ class ByteBpe:
         """The ids of any text: each match of the pattern folded alone."""
         return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda w: self.fold(t, w)))
 
-    def decode(self, t: Column, ids: Column) -> Column:
-        """The bytes of ids: their pieces put together."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["pieces"], i.cast("int"))), ""))
+    def encode_all(self, texts: Column) -> Column:
+        """The ids of each of an array of texts."""
+        literals = F.struct(*[v.alias(k) for k, v in self.table.items()])
+        return let(literals, lambda t: F.transform(texts, lambda x: self.encode_text(t, x)), "array<array<bigint>>")
 
-    def id_bytes(self, t: Column, ids: Column) -> Column:
-        """ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["id_hex"], i.cast("int"))), ""))
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word stands after a single space, in all whole texts; words of over KEPT_BYTES bytes are left out."""
 
-FOLD = ("slots", "displace", "bytes")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
 
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-def kept_words(docs: DataFrame, bpe: ByteBpe, words: int = KEPT_WORDS) -> tuple[dict[str, Column], int]:
-    """The ids of the words that most documents hold, as a literal: maps by the remainder of the word's hash, and how many.
+        for batch in batches:
+            for text in batch.column(0):
+                n.update(space_pieces(text.as_py() or "")[1:])
+                if len(n) > COUNTED:
+                    yield rows()
+                    n.clear()
+        if n:
+            yield rows()
 
-    All documents count. The words go to the driver: at most words of them, each of KEPT_BYTES at most.
+    each = docs.select("text").mapInArrow(counted, "word string, n long").where(F.octet_length("word") <= KEPT_BYTES)
+    return each.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def kept_words(docs: DataFrame, bpe: ByteBpe, words: int = KEPT_WORDS) -> pa.Buffer:
+    """The most frequent words of all documents with their ids, as a compressed Arrow table: at most words of them.
+
+    All words of a count are kept or none, so that the choice needs no order of all words: counts are put into
+    classes, of which there are a thousand at most, and the highest classes that fit are taken.
     """
-    each = docs.select(F.explode(F.array_distinct(F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))))).alias("word"))
-    counts = each.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= KEPT_BYTES))
-    top = materialize(counts.orderBy(F.desc("n"), "word").limit(words).select("word"), "bpe")
-    n = 1 << max(4, words.bit_length() - 1)
-    ids = bpe.bound(FOLD, lambda t: bpe.encode_text(t, F.concat(F.lit(" "), F.col("word"))))
-    found = top.repartition(64).select("word", F.pmod(F.xxhash64("word"), F.lit(n)).alias("at"), F.array_join(ids.cast("array<string>"), " ").alias("ids")).toPandas()
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(n)]
-    for word, at, some in zip(found["word"], found["at"], found["ids"], strict=True):
-        buckets[at][word] = [int(i) for i in some.split()]
-    return constants(docs.sparkSession, kept=(buckets, "array<map<string,array<bigint>>>")), n
-
-
-def encode_documents(docs: DataFrame, path: str, words: int = KEPT_WORDS, bpe: ByteBpe | None = None) -> DataFrame:
+    grade = F.floor(F.log2("n") * 16)
+    counts = materialize(word_counts(docs).select("word", grade.alias("grade")), "bpe")
+    sizes = {r.grade: r["count"] for r in counts.groupBy("grade").count().collect()}
+    total, least = 0, None
+    for g in sorted(sizes, reverse=True):
+        if (total := total + sizes[g]) > words:
+            break
+        least = g
+    top = counts.where(F.lit(False) if least is None else F.col("grade") >= least).select("word")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = F.get(bpe.encode_all(F.array(F.concat(F.lit(" "), F.col("word")))), F.lit(0))
+    table = top.repartition(tasks, "word").select("word", ids.cast("array<int>").alias("ids")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue()
+
+
+class _Known(dict):
+    """The ids of kept words as bytes; other words give a hole and are listed."""
+
+    def __init__(self, buffer: bytes) -> None:
+        self.rare: list[str] = []
+        for batch in pa.ipc.open_stream(pa.py_buffer(buffer)):
+            ids = batch.column(1)
+            raw, ends = ids.values.to_numpy().astype("<u2").tobytes(), (2 * ids.offsets.to_numpy()).tolist()
+            self.update(zip(batch.column(0).to_pylist(), [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+
+    def __missing__(self, word: str) -> bytes:
+        self.rare.append(" " + word)
+        return HOLE
+
+
+_STATE: dict = {}
+
+
+def _with_rare_ids(docs: DataFrame, path: str, words: int) -> tuple[DataFrame, ByteBpe]:
+    """docs with _ids, the text's ids as 16-bit integers with a hole for each word that is not kept, and _rare, those words' ids."""
+    spark = docs.sparkSession
+    bpe = ByteBpe(spark, path)
+    shared = spark.sparkContext.broadcast(kept_words(docs, bpe, words).to_pybytes())
+    mark = shared._jbroadcast.id()
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _STATE.get("mark") != mark:
+            _STATE.clear()
+            _STATE.update(mark=mark, known=_Known(shared.value))
+        known = _STATE["known"]
+        look = known.__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                some = batch.slice(at, DOCS_AT_ONCE)
+                coded, rare = [], []
+                for text in some.column(0):
+                    first, *rest = space_pieces(text.as_py() or "")
+                    known.rare = [first] if first else []
+                    coded.append((HOLE if first else b"") + b"".join(map(look, rest)))
+                    rare.append(known.rare)
+                columns = [*some.columns[1:], pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "_ids", "_rare"])
+
+    fields = [T.StructField("_ids", T.BinaryType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
+    found = docs.select(F.col("text").alias("_text"), *docs.columns).mapInArrow(looked_up, T.StructType([*docs.schema.fields, *fields]))
+    return found.withColumn("_rare", bpe.encode_all(F.col("_rare"))), bpe
+
+
+def _filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch whose last two columns are _ids and _rare, and where each row's begin and end."""
+    coded, rare = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    rows = coded.to_pylist()
+    flat = np.frombuffer(b"".join(rows), dtype="<u2")
+    words = rare.flatten()
+    holes = flat == EDGE
+    n = np.ones(len(flat), dtype=np.int64)
+    n[holes] = np.diff(words.offsets.to_numpy())
+    ids = np.repeat(flat, n).astype("<u4")
+    ids[np.repeat(holes, n)] = words.flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids, ends[np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows])]).astype(np.int64)]
+
+
+def encode_documents(docs: DataFrame, path: str, words: int = KEPT_WORDS) -> DataFrame:
     """docs with ids, an array of the whole text's token ids.
 
-    A text is cut at single spaces between other characters, where the pattern always begins a match; the
-    ids of the corpus's most frequent words are folded once and looked up in a literal, all other words are
-    folded where they stand. Nothing is shuffled but the counts of words. A null or empty text has no ids;
-    an empty table gives an empty result; an `ids` column of docs is replaced. A match of n bytes takes n
-    steps over at most n pieces.
+    A text is cut at single spaces between other characters, where the pattern always begins a match; the ids
+    of the corpus's most frequent words are folded once and looked up, all other words are folded where they
+    stand. Nothing is shuffled but the counts of words. A null or empty text has no ids; an empty table gives an
+    empty result; columns ids, _text, _ids and _rare of docs are replaced. A match of n bytes takes n steps over
+    at most n pieces.
     """
-    bpe = bpe or ByteBpe(docs.sparkSession, path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.drop("ids", "_words").withColumn("_words", F.split(text, BREAK))
-    kept, n = kept_words(cut, bpe, words)
-
-    def all_ids(t: Column) -> Column:
-        def ids(word: Column, at: Column) -> Column:
-            known = F.try_element_at(F.get(t["kept"], F.pmod(F.xxhash64(word), F.lit(n)).cast("int")), word)
-            return F.when(at == 0, bpe.encode_text(t, word)).otherwise(F.coalesce(known, bpe.encode_text(t, F.concat(F.lit(" "), word))))
+    docs = docs.drop("ids", "_text", "_ids", "_rare")
+    found, _ = _with_rare_ids(docs, path, words)
 
-        return F.flatten(F.transform("_words", ids))
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = _filled(batch)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*batch.schema.names[:-2], "ids"])
 
-    return cut.withColumn("ids", bpe.bound(FOLD, all_ids, **kept)).drop("_words")
+    return found.mapInArrow(made, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.LongType()))]))
 
 
 def round_trip(docs: DataFrame, path: str, words: int = KEPT_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, id_bytes, decoded): ids as bytes, and the text's bytes as they come from the ids."""
-    bpe = ByteBpe(docs.sparkSession, path)
-    coded = encode_documents(docs.select("doc_id", "text"), path, words, bpe)
-    both = bpe.bound(("pieces", "id_hex"), lambda t: F.struct(bpe.id_bytes(t, F.col("ids")).alias("id_bytes"), bpe.decode(t, F.col("ids")).alias("decoded")))
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), both.alias("both")).select("doc_id", "n_tokens", "both.id_bytes", "both.decoded")
+    """(doc_id, n_tokens, id_bytes, decoded): ids as little-endian unsigned 32-bit integers, and the text's bytes as they come from the ids."""
+    found, bpe = _with_rare_ids(docs.select("doc_id", "text"), path, words)
+    tokens = bpe.tokens
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = tokens.__getitem__
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                some = batch.slice(start, DOCS_AT_ONCE)
+                ids, at = _filled(some)
+                each = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                texts = [b"".join(map(piece, x.tolist())) for x in each]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "id_bytes", "decoded"])
+
+    doc_id = docs.schema["doc_id"]
+    kind = T.StructType([doc_id, T.StructField("n_tokens", T.LongType()), T.StructField("id_bytes", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return found.drop("text").mapInArrow(made, kind)

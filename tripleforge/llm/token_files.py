@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -13,16 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, space_pieces
 from .wavelet import WaveletMatrix
 
 #: Bytes of UTF-8 text of a file's documents; a longer document has a file of its own.
 FILE_BYTES = 8 << 20
 #: Words of which a Python worker keeps the ids at most, in two generations.
 KEPT_WORDS = 1_200_000
-#: White space beside a space.
-_ODD_SPACE = re.compile(r" \s|[^\S ] ")
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
 _STATE: dict = {}
 
 
@@ -43,16 +39,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if not _ODD_SPACE.search(text) and text[:1] != " " and text[-1:] != " ":
-            return text.split(" ")
-        if not _BREAK.search(text):
-            return [text]
-        return _BREAK.split(text)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as bytes."""
-        cut = [self.pieces(t) for t in texts]
+        cut = [space_pieces(t) for t in texts]
         known, older = self.known, self.older
         fresh = []
         for word in set().union(*cut):
