@@ -110,7 +110,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
 def mixed_documents(docs: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """The documents of the mix, with columns: each as many times as it is taken whole, then once more with the first words of the last, partial time."""
     mixed = mix_sources(docs, **options)
-    cut = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.regexp_substr(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:" + WORD + r"[\x20\x09-\x0D]+){"), (F.col("part") - 1).cast("string"), F.lit("}" + WORD))))
+    part = F.col("part").cast("int")
+    # no counted group in a pattern: Java walks it recursively, which overflows the stack on long texts
+    gaps, words = F.split("text", WORD), F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    cut = F.array_join(F.zip_with(F.slice(gaps, 1, part), F.slice(words, 1, part), lambda gap, word: F.concat(gap, word)), "")
     copies = F.concat(F.array_repeat(F.lit(False), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     out = mixed.where("size > 0").withColumn("_partial", F.explode(copies))
     text = F.when(F.col("_partial") & (F.col("part") < F.col("size")), cut).otherwise(F.col("text"))
