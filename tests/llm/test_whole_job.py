@@ -2,7 +2,9 @@
 
 import re
 
-from tripleforge.llm import mixing
+import pytest
+
+from tripleforge.llm import mixing, pii
 
 
 def test_mixing_cuts_a_long_document(spark):
@@ -11,3 +13,13 @@ def test_mixing_cuts_a_long_document(spark):
     row = mixing.mixed_documents(table, ["doc_id", "text", "n_chars"], share=0.9).collect()
     want = re.match(r"\s*(?:\S+\s+){17999}\S+", text).group()
     assert [(r.doc_id, r.text, r.n_chars) for r in row] == [(1, want, len(want))]
+
+
+@pytest.mark.parametrize("pull", [0.0, 0.5])
+def test_pii_labels_every_later_mention(pull):
+    field = pii.SkipChainField()
+    field.unary[3 * pii.N_SHAPE, pii.NONE] = pull
+    text = "call +12345557586 today" + " and again the number 12345557586 there" * 50
+    base, spans = field.label([text])[0]
+    assert len(base) == 1 and len(spans) == 51 and {pii.KINDS[k] for _, k, _ in spans} == {"phone"}
+    assert field.label(["a 7 b", text, ""])[1] == (base, spans)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -194,33 +195,50 @@ class SkipChainField:
             self.chain = np.clip(odds, -2, 2)
         return self
 
-    def marginals(self, nodes: list[list[int]], fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-        """Each node's label probabilities by loopy message passing, all messages at once, over any number of texts.
+    def marginals(self, nodes: list[list[int]], fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, near: np.ndarray | None = None, group: np.ndarray | None = None, tolerance: float = 1e-4, damping: float = 0.3) -> np.ndarray:
+        """Each node's label probabilities by loopy message passing, all messages of a group at once until none changes by more than tolerance.
 
-        fixed: a known label or -1; chain, skip: pairs of node numbers.
+        fixed: a known label or -1; chain, skip: pairs of node numbers; near: further log weights of nodes and labels;
+        group: numbers of the texts that nodes belong to, each of which ends for itself. Swings are damped more and
+        more; a group that still swings after that is reported in a warning.
         """
         n, k = len(nodes), len(LABELS)
         local = np.array([self.unary[f].sum(axis=0) for f in nodes]).reshape(n, k)
+        if near is not None:
+            local = local + near
         known = np.flatnonzero(fixed >= 0)
         local[known] = -50.0
         local[known, fixed[known]] = 50.0
         same = np.eye(k) * self.skip
+        group = np.zeros(n, dtype=np.int64) if group is None else group
         src = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]]).astype(np.int64)
         dst = np.concatenate([chain[:, 1], skip[:, 1], chain[:, 0], skip[:, 0]]).astype(np.int64)
         half = len(chain) + len(skip)
-        potential = np.concatenate([np.broadcast_to(self.chain, (len(chain), k, k)), np.broadcast_to(same, (len(skip), k, k)), np.broadcast_to(self.chain.T, (len(chain), k, k)), np.broadcast_to(same, (len(skip), k, k))])
+        kind = np.repeat([0, 1, 2, 1], [len(chain), len(skip), len(chain), len(skip)])
+        potentials = np.stack([self.chain, same, self.chain.T])
         messages = np.zeros((2 * half, k))
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        belief = local
-        for _ in range(rounds if half else 0):
-            out = belief[src] - messages[back]
-            new = potential + out[:, :, None]
+        belief = local.copy()
+        live, step, rounds = np.arange(2 * half), 1 - damping, 0
+        while len(live):
+            new = potentials[kind[live]] + (belief[src[live]] - messages[back[live]])[:, :, None]
             top = new.max(axis=1)
             new = top + np.log(np.exp(new - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            messages = damping * messages + (1 - damping) * new
-            belief = local.copy()
-            np.add.at(belief, dst, messages)
+            change = np.abs(new - messages[live]).max(axis=1)
+            messages[live] += step * (new - messages[live])
+            mine = np.unique(dst[live])
+            belief[mine] = local[mine]
+            np.add.at(belief, dst[live], messages[live])
+            moving = np.zeros(group.max() + 1, dtype=bool)
+            moving[group[dst[live[change > tolerance]]]] = True
+            live = live[moving[group[dst[live]]]]
+            rounds += 1
+            if rounds % 200 == 0:
+                step /= 2
+                if step < 0.01 and len(live):
+                    warnings.warn(f"messages of {moving.sum()} texts still change by up to {change.max():.2g}", RuntimeWarning, stacklevel=2)
+                    break
         belief = belief - belief.max(axis=1, keepdims=True)
         p = np.exp(belief)
         return p / p.sum(axis=1, keepdims=True)
@@ -233,24 +251,39 @@ class SkipChainField:
         fixed: list[int] = []
         chain: list[tuple[int, int]] = []
         skip: list[tuple[int, int]] = []
+        near: list[list[float]] = []
+        group: list[int] = []
         firsts = []
-        for tokens in all_tokens:
+        for number, tokens in enumerate(all_tokens):
             first = len(nodes)
             firsts.append(first)
             if not tokens.words or min(tokens.labels) >= 0:
                 continue
             nodes += features(tokens)
             fixed += tokens.labels
-            last: dict[str, int] = {}
+            alike: dict[str, list[int]] = {}
             for i, word in enumerate(tokens.words):
                 if i and tokens.spans[i][0] - tokens.spans[i - 1][1] <= 3:
                     chain.append((first + i - 1, first + i))
-                for key in keys_of(word):  # a link to the last such token: a chain of them, not all pairs
-                    if key in last:
-                        skip.append((last[key], first + i))
-                    last[key] = first + i
+                for key in keys_of(word):
+                    alike.setdefault(key, []).append(i)
+            evidence = np.zeros((len(tokens.words), len(LABELS)))
+            hubs = 0
+            for members in alike.values():
+                found = [tokens.labels[i] for i in members if tokens.labels[i] >= 0]
+                open_ = [i for i in members if tokens.labels[i] < 0]
+                if found and open_:  # a link to those that the patterns know, by their labels' shares, however many there are
+                    evidence[open_] += self.skip * np.bincount(found, minlength=len(LABELS)) / len(found)
+                if len(open_) > 1:  # a node more that all others are linked to: linear, and two links between any two
+                    hub = first + len(tokens.words) + hubs
+                    hubs += 1
+                    skip += [(first + i, hub) for i in open_]
+            near += evidence.tolist() + [[0.0] * len(LABELS)] * hubs
+            nodes += [[]] * hubs
+            fixed += [-1] * hubs
+            group += [number] * (len(tokens.words) + hubs)
         out = []
-        p = self.marginals(nodes, np.array(fixed), np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2)) if nodes else np.zeros((0, len(LABELS)))
+        p = self.marginals(nodes, np.array(fixed), np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2), np.array(near), np.array(group)) if nodes else np.zeros((0, len(LABELS)))
         best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
         for tokens, spans, first in zip(all_tokens, base, firsts, strict=True):
             more: list[list[int]] = []
