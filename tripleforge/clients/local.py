@@ -23,7 +23,7 @@ class RuleClient:
         return json.dumps(found, ensure_ascii=False)
 
     def augment(self, record_id: str, text: str, prompt: str, iteration: int) -> str:
-        heads = [json.loads(x)[0] for x in _COMPONENT.findall(prompt)]
+        heads = [json.loads(x)["name"] for x in _COMPONENT.findall(prompt)]
         return json.dumps([{"head": h, "relation": "part_of_context", "tail": heads[0]} for h in heads[1:]], ensure_ascii=False)
 
 

@@ -54,12 +54,17 @@ def strings(triples: DataFrame) -> DataFrame:
     return triples.select("record_id", "seq", triple_string(F.col("head"), F.col("relation"), F.col("tail")).alias("triple"))
 
 
-def entity_context(triples: DataFrame, most: int = 8) -> DataFrame:
-    """(record_id, entity, context): the first triples that an entity is part of, a self loop once."""
+def entity_edges(triples: DataFrame, most: int = 8) -> DataFrame:
+    """(record_id, entity, edges): the first triples that an entity is part of, a self loop once."""
     each = triples.select("record_id", "seq", triple_string(F.col("head"), F.col("relation"), F.col("tail")).alias("triple"), F.explode(F.array_distinct(F.array("head", "tail"))).alias("entity"))
     w = Window.partitionBy("record_id", "entity").orderBy("seq")
     first = each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    return first.groupBy("record_id", "entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "triple"))), lambda r: r["triple"]), "; ").alias("context"))
+    return first.groupBy("record_id", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "triple"))), lambda r: r["triple"]).alias("edges"))
+
+
+def entity_context(triples: DataFrame, most: int = 8) -> DataFrame:
+    """(record_id, entity, context): the edges of an entity as one string."""
+    return entity_edges(triples, most).select("record_id", "entity", F.array_join("edges", "; ").alias("context"))
 
 
 def duplicate_rate(triples: DataFrame) -> DataFrame:

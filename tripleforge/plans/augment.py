@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..clients import ClientConfig, LLMClientError, create_client
-from ..functions.text import label_key, render_prompt, response_items, sanitize_control
+from ..functions.text import label_key, render_prompt, response_items, sanitize_control, strip
 from ..operators import graph
 from ..operators import triples as T
 from ..operators.constraints import judge
@@ -52,9 +52,9 @@ def extract(records: DataFrame, config: ClientConfig, domain: Domain) -> tuple[D
     return found.select("record_id", "seq", *FIELDS), answers.where("error IS NOT NULL").select("record_id", F.lit("extract").alias("step"), F.col("error").alias("message"))
 
 
-def component_heads(triples: DataFrame) -> DataFrame:
-    """(record_id, component, n): each record's components by their least name, and how many the record has."""
-    found = graph.components(graph.raw_edges(triples))
+def component_heads(triples: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(record_id, component, n): each record's components by their least name, and how many the record has; found: the components, if they are there."""
+    found = graph.components(graph.raw_edges(triples)) if found is None else found
     each = found.select("record_id", "component").distinct()
     return each.join(each.groupBy("record_id").agg(F.count("*").alias("n")), "record_id")
 
@@ -69,23 +69,29 @@ def bridge_by_rule(triples: DataFrame, max_disconnected: int = 1) -> DataFrame:
 def connectivity(records: DataFrame, triples: DataFrame, config: ClientConfig, domain: Domain, max_disconnected: int = 3, max_iterations: int = 2, dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
     """(triples, iterations): model-made bridges until a record has at most max_disconnected components.
 
-    Only records above the limit are asked. Bridges are contextual whatever the model says. A failed call keeps
+    Only records above the limit are asked, with all their triples and each component's first entities and
+    triples, a component a line. Bridges are contextual whatever the model says. A failed call keeps
     what came before and ends the record's iterations; iterations has (record_id, iteration, components, error).
     """
     limits = domain.constraints("connectivity")
     log: DataFrame | None = None
     failed: DataFrame | None = None
     for iteration in range(max_iterations):
-        heads = component_heads(triples).where(F.col("n") > max_disconnected)
+        found = graph.components(graph.raw_edges(triples)).checkpoint()
+        heads = component_heads(triples, found).where(F.col("n") > max_disconnected)
         if failed is not None:
             heads = heads.join(failed, "record_id", "left_anti")
         heads = heads.checkpoint()
         if heads.isEmpty():
             break
-        numbered = heads.groupBy("record_id", "n").agg(F.array_sort(F.collect_list("component")).alias("names"))
-        lines = F.array_join(F.transform("names", lambda x, i: F.concat(F.lit("Component "), (i + 1).cast("string"), F.lit(": "), F.to_json(F.array(x)))), "\n")
-        prompt = F.concat(render_prompt(domain.prompt("connectivity"), F.to_json(F.struct("record_id", "text")), limits.guidance()), F.lit("\n"), lines)
-        asked = records.select("record_id", "text").join(numbered, "record_id").select("record_id", "text", "n", prompt.alias("prompt"))
+        asked_for = heads.select("record_id").distinct()
+        mine = triples.join(asked_for, "record_id", "left_semi")
+        parts = graph.component_summary(mine, found).join(heads, ["record_id", "component"]).select("record_id", "n", F.struct(F.col("component").alias("name"), "n_entities", "entities", "n_triples", "triples").alias("part"))
+        numbered = parts.groupBy("record_id", "n").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        current = mine.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("seq", *FIELDS))).alias("current")).select("record_id", F.transform("current", lambda t: F.struct(*[t[c].alias(c) for c in FIELDS])).alias("current_triples"))
+        lines = F.array_join(F.transform("parts", lambda x, i: F.concat(F.lit("Component "), (i + 1).cast("string"), F.lit(": "), F.to_json(x))), "\n")
+        prompt = F.concat(render_prompt(domain.prompt("connectivity"), F.to_json(F.struct("record_id", "text", "current_triples")), limits.guidance()), F.lit("\n"), lines)
+        asked = records.select("record_id", "text").join(numbered, "record_id").join(current, "record_id").select("record_id", "text", "n", prompt.alias("prompt"))
         answers = call_model(asked, config, "augment", iteration)
         bad = answers.where("error IS NOT NULL").select("record_id")
         failed = bad if failed is None else failed.union(bad)
@@ -100,10 +106,12 @@ def connectivity(records: DataFrame, triples: DataFrame, config: ClientConfig, d
 
 
 def entity_resolution(records: DataFrame, triples: DataFrame, config: ClientConfig, domain: Domain) -> tuple[DataFrame, DataFrame]:
-    """(triples, mapping): names that are one thing brought to one; the rule client's groups are those of equal label keys."""
+    """(triples, mapping): names that are one thing brought to one; the rule client's groups are those of equal label keys, a model gets each entity's first triples."""
     if config.client_type == "rule":
         return T.resolve_by_rule(triples, label_key)
-    names = T.entities(triples).groupBy("record_id").agg(F.array_sort(F.collect_set("entity")).alias("entities")).where(F.size("entities") > 1)
+    edges = T.entity_edges(triples.withColumns({c: strip(F.col(c)) for c in ("head", "tail")}))
+    used = T.entities(triples).join(edges, ["record_id", "entity"], "left").select("record_id", F.struct(F.col("entity").alias("name"), "edges").alias("entity"))
+    names = used.groupBy("record_id").agg(F.array_sort(F.collect_list("entity")).alias("entities")).where(F.size("entities") > 1)
     excerpt = T.source_excerpt(records)
     asked = names.join(excerpt, "record_id").select("record_id", F.col("excerpt").alias("text"), render_prompt(domain.prompt("entity_resolution"), F.to_json(F.struct("excerpt", "entities")), "").alias("prompt"))
     answers = call_model(asked, config, "augment")
