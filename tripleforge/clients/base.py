@@ -13,6 +13,8 @@ class LLMClientError(Exception):
 
 @dataclass(frozen=True)
 class ClientConfig:
+    """max_char_buffer, extraction_passes: characters of a text in one prompt of an extraction, and how often all of it is read; max_workers: calls of one task at a time; batch_length: calls handed to them at a time."""
+
     client_type: str = "rule"
     model_id: str | None = None
     temperature: float = 0.0
@@ -25,6 +27,14 @@ class ClientConfig:
     timeout: int = 120
     options: dict[str, Any] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for name in ("max_char_buffer", "extraction_passes", "max_workers", "batch_length"):
+            value = getattr(self, name)
+            if value is None and name in ("max_workers", "batch_length"):
+                continue
+            if not isinstance(value, int) or value < 1:
+                raise ValueError(f"{name} must be a number of 1 or more, not {value!r}")
+
 
 class LLMClient(Protocol):
     """extract and augment answer a prompt with text; a client is made on the executor, once a partition."""

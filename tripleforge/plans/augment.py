@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..clients import ClientConfig, LLMClientError, create_client
@@ -17,39 +19,78 @@ from ..operators.constraints import judge
 from .domains import Domain
 
 FIELDS = ("head", "relation", "tail", "inference", "justification")
+_SENTENCE_END = re.compile(r"[.!?。！？]\s+|\n+")
+_SPACE = re.compile(r"\s+")
 
 
-def call_model(prompts: DataFrame, config: ClientConfig, kind: str, iteration: int = 0) -> DataFrame:
-    """(record_id, response, error) of prompts (record_id, text, prompt): one call each, checkpointed, so that no call is made again."""
+def call_model(prompts: DataFrame, config: ClientConfig, kind: str, iteration: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """(record_id, response, error) of prompts (record_id, text, prompt), and the integer columns keep of prompts: one call each, checkpointed, so that no call is made again."""
 
     def called(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = create_client(config)
-        for batch in batches:
-            out = []
-            for record_id, text, prompt in zip(batch["record_id"], batch["text"], batch["prompt"], strict=True):
-                try:
-                    answer = client.extract(record_id, text, prompt) if kind == "extract" else client.augment(record_id, text, prompt, iteration)
-                    out.append((record_id, answer, None))
-                except LLMClientError as e:
-                    out.append((record_id, None, str(e)[:500]))
-            yield pd.DataFrame(out, columns=["record_id", "response", "error"])
 
-    return prompts.select("record_id", "text", "prompt").mapInPandas(called, "record_id string, response string, error string").checkpoint()
+        def one(row: tuple[str, str, str]) -> tuple[str, str | None, str | None]:
+            record_id, text, prompt = row
+            try:
+                return record_id, client.extract(record_id, text, prompt) if kind == "extract" else client.augment(record_id, text, prompt, iteration), None
+            except LLMClientError as e:
+                return record_id, None, str(e)[:500]
 
+        with ThreadPoolExecutor(config.max_workers or 1) as pool:
+            for batch in batches:
+                rows = list(zip(batch["record_id"], batch["text"], batch["prompt"], strict=True))
+                step = config.batch_length or len(rows) or 1
+                out = [x for at in range(0, len(rows), step) for x in pool.map(one, rows[at : at + step])]
+                done = pd.DataFrame(out, columns=["record_id", "response", "error"])
+                yield done.assign(**{c: batch[c].to_numpy() for c in keep})
 
-def parse_triples(responses: DataFrame) -> DataFrame:
-    """(record_id, seq, triple fields) of the objects in responses; answers that are no JSON give none."""
-    items = responses.select("record_id", F.posexplode(response_items(sanitize_control(F.col("response")))).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
-    return items.select("record_id", "seq", *[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in FIELDS])
+    kept = "".join(f", {c} int" for c in keep)
+    return prompts.select("record_id", "text", "prompt", *keep).mapInPandas(called, f"record_id string, response string, error string{kept}").checkpoint()
+
+
+def parse_triples(responses: DataFrame, *keep: str) -> DataFrame:
+    """(record_id, seq, triple fields) of the objects in responses, and the columns keep; answers that are no JSON give none."""
+    items = responses.select("record_id", *keep, F.posexplode(response_items(sanitize_control(F.col("response")))).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    return items.select("record_id", *keep, "seq", *[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in FIELDS])
+
+
+def chunks(text: str, size: int) -> list[str]:
+    """A text in pieces of at most size characters that make it up: each ends after its last sentence or line, else after its last white space, where it has one."""
+    out, at = [], 0
+    while len(text) - at > size:
+        piece = text[at : at + size]
+        ends = [m.end() for m in _SENTENCE_END.finditer(piece)] or [m.end() for m in _SPACE.finditer(piece)] or [size]
+        out.append(piece[: ends[-1]])
+        at += ends[-1]
+    return [*out, text[at:]]
 
 
 def extract(records: DataFrame, config: ClientConfig, domain: Domain) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of a model's extraction, normalised and within the domain's constraints."""
+    """(triples, errors) of a model's extraction, normalised and within the domain's constraints.
+
+    Each text goes in chunks of max_char_buffer characters, extraction_passes times; of a triple that a later
+    pass finds again the first is kept. A record with a failed call has one error and no triples. The rule
+    client reads whole texts, and always the same in them: it gets one call.
+    """
     limits = domain.constraints("extraction")
+    whole = config.client_type == "rule"
+    size = config.max_char_buffer
+    cut = F.udf(lambda text: chunks(text or "", size), "array<string>")
+    pieces = records.select("record_id", F.lit(0).alias("chunk"), "text") if whole else records.select("record_id", F.posexplode(cut("text")).alias("chunk", "text"))
+    pieces = pieces.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(0 if whole else config.extraction_passes - 1))))
     prompt = render_prompt(domain.prompt("extraction"), F.to_json(F.struct("record_id", "text")), limits.guidance())
-    answers = call_model(records.select("record_id", "text", prompt.alias("prompt")), config, "extract")
-    found = judge(T.normalize(parse_triples(answers)), limits).where(F.size("reasons") == 0)
-    return found.select("record_id", "seq", *FIELDS), answers.where("error IS NOT NULL").select("record_id", F.lit("extract").alias("step"), F.col("error").alias("message"))
+    answers = call_model(pieces.select("record_id", "text", "pass", "chunk", prompt.alias("prompt")), config, "extract", keep=("pass", "chunk"))
+    bad = answers.where("error IS NOT NULL")
+    good = answers.join(bad.select("record_id"), "record_id", "left_anti")
+    parsed = parse_triples(good, "pass", "chunk")
+    found = T.normalize(parsed)
+    if not whole:
+        first = F.min("pass").over(Window.partitionBy("record_id", "head", "relation", "tail"))
+        place = F.row_number().over(Window.partitionBy("record_id").orderBy("pass", "chunk", "seq")) - 1
+        found = found.withColumn("_first", first).where(F.col("pass") == F.col("_first")).withColumn("seq", place.cast("int"))
+    found = judge(found.drop("pass", "chunk", "_first"), limits).where(F.size("reasons") == 0)
+    message = F.min_by("error", F.struct("pass", "chunk"))
+    return found.select("record_id", "seq", *FIELDS), bad.groupBy("record_id").agg(message.alias("message")).select("record_id", F.lit("extract").alias("step"), "message")
 
 
 def component_heads(triples: DataFrame, found: DataFrame | None = None) -> DataFrame:
