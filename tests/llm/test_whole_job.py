@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tripleforge.llm import mixing, pii
+from tripleforge.llm import mixing, ngram_join, pii
 
 
 def test_mixing_cuts_a_long_document(spark):
@@ -23,3 +23,14 @@ def test_pii_labels_every_later_mention(pull):
     base, spans = field.label([text])[0]
     assert len(base) == 1 and len(spans) == 51 and {pii.KINDS[k] for _, k, _ in spans} == {"phone"}
     assert field.label(["a 7 b", text, ""])[1] == (base, spans)
+
+
+def test_keep_first_takes_rows_without_an_id_and_rows_that_share_one(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near_a = a + " more"
+    rows = [(7, a), (3, near_a), (None, a), (None, b), (None, b), (5, c), (5, d), (5, d + " more"), (6, c), (8, None), (9, ""), (None, None), (None, None), (None, "x")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_first(table, 5, 80).collect()]
+    d_kept = [x for x in got if x in ((5, d), (5, d + " more"))]
+    assert len(d_kept) == 1
+    assert sorted(map(repr, got)) == sorted(map(repr, [(3, near_a), (None, b), (5, c), *d_kept, (8, None), (9, ""), (None, None), (None, "x")]))

@@ -257,9 +257,15 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One document of each component: the one whose doc_id is the component's; of rows that repeat it, the least."""
-    joined = join_documents(docs, k, percent)
-    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return whole.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").select(*docs.columns)
+    """One document of each component: the one with the smallest doc_id, null last, and then the smallest hash of its text.
+
+    A document is a doc_id with a text: rows that share a doc_id and have unlike texts all stay, and so do rows
+    without a doc_id that are no copy of one that stays. Of rows with the same doc_id and text, null ones too,
+    one stays, the least by a hash of all columns.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    joined = join_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = joined.join(keyed.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min_by("_row", least).alias("_row")).select("_row")
+    w = Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
