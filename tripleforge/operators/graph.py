@@ -122,17 +122,20 @@ def search(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     return rows.groupBy("record_id", "node").agg(F.max("m").alias("is_match"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 50) -> DataFrame:
-    """(record_id, node, hops): the fewest directed edges from a record's source (record_id, node); only what is reached."""
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(record_id, node, hops): the fewest directed edges from a record's source (record_id, node); only what is reached, however far."""
     seen = sources.select("record_id", "node", F.lit(0).alias("hops")).checkpoint()
-    frontier = seen
-    for hop in range(1, rounds + 1):
+    parts = max(1, seen.rdd.getNumPartitions())
+    frontier, hop = seen, 0
+    while True:
+        hop += 1
         step = frontier.join(edges.select("record_id", F.col("src").alias("node"), "dst"), ["record_id", "node"]).select("record_id", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("record_id", "node"), ["record_id", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.union(frontier)
-    return seen
+        if hop % 16 == 0:  # else the union's partitions and plan grow with each hop
+            seen = seen.coalesce(parts).checkpoint()
 
 
 def _communities(pdf: pd.DataFrame) -> pd.DataFrame:
