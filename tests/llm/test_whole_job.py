@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
-from tripleforge.llm import mixing, ngram_join, pii
+from tripleforge.llm import mixing, ngram_join, pii, token_files
 
 
 def test_mixing_cuts_a_long_document(spark):
@@ -34,3 +37,13 @@ def test_keep_first_takes_rows_without_an_id_and_rows_that_share_one(spark):
     d_kept = [x for x in got if x in ((5, d), (5, d + " more"))]
     assert len(d_kept) == 1
     assert sorted(map(repr, got)) == sorted(map(repr, [(3, near_a), (None, b), (5, c), *d_kept, (8, None), (9, ""), (None, None), (None, "x")]))
+
+
+def test_encoder_gives_added_tokens_their_own_ids():
+    path = P.path("byte_bpe_50k.json")
+    encoder, plain = token_files.Encoder(path, 0, np.uint16), Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = ["a", " ", "\n", "word", ",", ".", "  ", "\t", "é", "12", "<|endoftext|>", " <|endoftext|>,", "\n<|endoftext|>", " "]
+    texts = ["<|endoftext|>", *["".join(parts[i] for i in rng.integers(0, len(parts), 14)) for _ in range(2000)]]
+    assert encoder.encode(texts) == [np.array([*x.ids, 0], dtype=np.uint16).tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts[:1]) == [np.array([50256, 0], dtype=np.uint16).tobytes()]

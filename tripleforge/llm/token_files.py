@@ -26,7 +26,8 @@ class Encoder:
     """Encodes texts with a byte-level tokenizer file, each word once.
 
     A single space between two other characters always begins a new match of a byte-level pattern, so the
-    text can be cut there and each piece be encoded alone; encoded pieces are kept up to a bound.
+    text can be cut there and each piece be encoded alone; encoded pieces are kept up to a bound. Added
+    tokens, as <|endoftext|>, get their own ids; a piece that holds one is encoded as it is.
     """
 
     def __init__(self, path: str, end_id: int, dtype: type) -> None:
@@ -34,14 +35,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(t.content for t in added)
+        self.spaced = tuple(t.content for t in added if " " in t.content or t.lstrip or t.rstrip)
         self.dtype, self.end = dtype, np.array([end_id], dtype=dtype).tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as bytes."""
-        cut = [space_pieces(t) for t in texts]
+        cut = [[t] if any(a in t for a in self.spaced) else space_pieces(t) for t in texts]
         known, older = self.known, self.older
         fresh = []
         for word in set().union(*cut):
@@ -50,7 +53,7 @@ class Encoder:
                     fresh.append(word)
                 else:
                     known[word] = got
-        joined = {word: atoms for word in fresh if (word[-1:] in ",." or "\n" in word) and len(atoms := self._atoms(word)) > 1}
+        joined = {word: atoms for word in fresh if (word[-1:] in ",." or "\n" in word) and not any(a in word for a in self.added) and len(atoms := self._atoms(word)) > 1}
         atoms = {a for atoms in joined.values() for a in atoms}
         atoms.update(word for word in fresh if word not in joined)
         self._learn([atom for atom in atoms if atom not in known])
