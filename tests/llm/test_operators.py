@@ -7,12 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripleforge.llm import byte_bpe, chat, embedding_dedup, language_id, mixing, ngram_join, pii, token_files, topk, url_filter
+from tripleforge.llm import atoms, byte_bpe, chat, embedding_dedup, language_id, mixing, ngram_join, pii, token_files, topk, url_filter
 from tripleforge.llm.hnsw import Hnsw
 from tripleforge.llm.wavelet import WaveletMatrix
 
@@ -175,6 +177,56 @@ def test_byte_bpe(docs, spark):
             want = np.array(plain.encode_ordinary(TEXTS[r.doc_id] or ""), dtype="<u4")
             assert bytes(r.id_bytes) == want.tobytes() and r.n_tokens == len(want) and bytes(r.decoded).decode() == (TEXTS[r.doc_id] or "")
     assert byte_bpe.round_trip(docs.limit(0), path, 2).count() == 0
+    clash = docs.select("*", F.lit("x").alias("ids"), F.lit("y").alias("_rare"))
+    kept = byte_bpe.encode_documents(clash, path, 10)
+    assert set(kept.columns) == {*docs.columns, "ids", "id_bytes"} and all(r.ids == plain.encode_ordinary(r.text or "") for r in kept.collect())
+
+
+def test_long_matches_by_tiktoken(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    for alphabet in ("a", "ab", "enrstion", "aeé漢", "0123456789", "=-"):
+        for n in (1, 2, 3, 7, 50, 700):
+            word = "".join(rng.choice(list(alphabet), n))
+            assert byte_bpe.merge_long(word.encode(), ranks) == plain._core_bpe.encode_single_piece(word.encode())
+    texts = ["x" * 300_000, "go " + "".join(rng.choice(list("enrstion"), 60_000)) + " on", "".join(rng.choice(list("0123456789"), 1_030)), "é" * 511 + " " + "é" * 513]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in byte_bpe.round_trip(table, path).collect():
+        assert np.frombuffer(r.id_bytes, dtype="<u4").tolist() == plain.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
+
+
+def test_atoms_begin_where_matches_do():
+    rng = np.random.default_rng(9)
+    parts = ["a", "Z", "é", "ß", "×", "7", "'", "'s", "'re", ".", ",", "-", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x1c", "漢", "😀", "\u0301", "ª"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(4000)]
+    texts += ["a" * 300, "a" * 257 + " b", ""]
+    data, bounds = atoms.text_bytes(pa.array([*texts, None]))
+    begins = atoms.starts(data, bounds).tolist()
+    cuts = {*begins, len(data)}
+    pattern = regex.compile(P.PATTERN)
+    for text, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist(), strict=False):
+        mine = sorted(x for x in cuts if a <= x < b) + [b]
+        got = [m for x, y in zip(mine, mine[1:], strict=False) for m in pattern.findall(data[x:y].tobytes().decode())]
+        assert got == pattern.findall(text), text
+
+
+def test_atom_table():
+    rng = np.random.default_rng(10)
+    words = sorted({bytes(rng.integers(97, 100, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000)})
+    table, ids = atoms.AtomTable(np.uint16), {}
+    for part in (words[::3], words[1::3]):
+        lists = [rng.integers(0, 60000, rng.integers(0, 4)).tolist() for _ in part]
+        ids |= dict(zip(part, lists, strict=True))
+        table.add(np.frombuffer(b"".join(part), dtype=np.uint8), np.array([len(w) for w in part]), np.array([i for x in lists for i in x]), np.array([len(x) for x in lists]))
+    n = np.array([len(w) for w in words])
+    data, at = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(n) - n
+    rows = table.find(data, at, n, atoms.hashes(data, at, n))
+    out, each = atoms.joined(table, rows, [b"\x01\x00"] * int((rows < 0).sum()))
+    assert [x.tolist() for x in np.split(out, np.cumsum(each)[:-1])] == [ids.get(w, [1]) for w in words]
+    wrong = table.find(data, at, n, np.roll(atoms.hashes(data, at, n), 1))
+    assert (wrong == -1).all()  # bytes are compared
 
 
 def test_embedding_dedup(spark):

@@ -3,30 +3,34 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, space_pieces
+from .atoms import AtomTable, hashes, joined, starts, text_bytes
+from .common import bounded, materialized
 
-#: Words of the whole corpus whose ids are worked out once and looked up at most; the others are folded where they stand.
+#: Matches of the pattern whose ids are folded once for the whole corpus and looked up at most; the others are folded where they stand.
 KEPT_WORDS = 1 << 20
-#: Bytes of a kept word at most; together with KEPT_WORDS this bounds what is broadcast.
+#: Bytes of a kept match at most; together with KEPT_WORDS this bounds what is broadcast.
 KEPT_BYTES = 48
-#: Words that a task counts before it passes them on, and documents of which it holds the ids at once.
-COUNTED, DOCS_AT_ONCE = 400_000, 512
+#: Bytes of text that a worker takes at once, and bytes of a match from which on a heap finds the next merge.
+BATCH_BYTES, LONG = 2 << 20, 1_024
+#: Characters that are cut into words at once where they are counted.
+COUNTED_CHARS = 1 << 20
 #: The rank of a pair that does not merge; ranks are below.
 NONE = 1 << 17
 #: Beside the first and last token, and in place of a word whose ids are not known yet.
 EDGE = 65_535
 HOLE = EDGE.to_bytes(2, "little")
-SPACE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public split pattern, with white space spelt out as Unicode has it.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
@@ -112,7 +116,7 @@ def constants(spark: SparkSession, **values: tuple[object, str]) -> dict[str, Co
 class ByteBpe:
     """A rank file's encoding and decoding as column expressions.
 
-    The expressions take the literals as t, a struct column that `bound` puts round them.
+    The expressions take the literals as t, a struct column that `fold_all` puts round them.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -144,9 +148,10 @@ class ByteBpe:
         """The ids of one match: its bytes, and then as often as a pair has a rank the leftmost pair of the lowest rank merged.
 
         A token stands as rank << 40 | place << 17 | id: the rank of its merge with the next one, where it began,
-        and its id; so the least of all is the next to merge.
+        and its id; so the least of all is the next to merge. A match of n bytes, below 2^23, takes at most n
+        steps over n tokens; longer ones than LONG are left to merge_long.
         """
-        place, own, most = ((1 << 23) - 1) << 17, (1 << 17) - 1, (1 << 23) - 1
+        place, own = ((1 << 23) - 1) << 17, (1 << 17) - 1
         edge = F.lit(EDGE).cast("bigint")
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         start = F.concat(F.array(edge), F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), F.array(edge))
@@ -154,7 +159,7 @@ class ByteBpe:
         def begun(ids: Column) -> Column:
             pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(F.coalesce(b, edge)))
             ranked = F.zip_with(ids, self.ranks_of(t, pairs), lambda i, r: F.shiftleft(r, 40).bitwiseOR(i))
-            return F.transform(ranked, lambda x, i: x.bitwiseOR(F.shiftleft(F.least(i, F.lit(most)).cast("bigint"), 17)))
+            return F.transform(ranked, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("bigint"), 17)))
 
         def merged(state: Column, low: Column) -> Column:
             def at(p: Column) -> Column:
@@ -175,161 +180,202 @@ class ByteBpe:
 
         return let(start, folded)
 
-    def encode_text(self, t: Column, text: Column) -> Column:
-        """The ids of any text: each match of the pattern folded alone."""
-        return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda w: self.fold(t, w)))
-
-    def encode_all(self, texts: Column) -> Column:
-        """The ids of each of an array of texts."""
+    def fold_all(self, matches: Column) -> Column:
+        """The ids of each of an array of matches."""
         literals = F.struct(*[v.alias(k) for k, v in self.table.items()])
-        return let(literals, lambda t: F.transform(texts, lambda x: self.encode_text(t, x)), "array<array<bigint>>")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word stands after a single space, in all whole texts; words of over KEPT_BYTES bytes are left out."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
+        return let(literals, lambda t: F.transform(matches, lambda x: self.fold(t, x)), "array<array<bigint>>")
+
+
+def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a match of any length, as fold gives them: a heap finds the leftmost pair of the lowest rank, so n bytes take n log n steps."""
+    n = len(data)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if end[i] < 0 or j >= n or end[j] != stop:  # one of the pair has been merged with another since
+            continue
+        end[i], end[j], after[i] = stop, -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a in (before[i], i):
+            if a >= 0 and (b := after[a]) < n and (r := ranks.get(data[a : end[b]])) is not None:
+                heapq.heappush(heap, (r, a, end[b]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i : end[i]]])
+        i = after[i]
+    return out
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                n.update(space_pieces(text.as_py() or "")[1:])
-                if len(n) > COUNTED:
-                    yield rows()
-                    n.clear()
-        if n:
-            yield rows()
+def match_counts(docs: DataFrame) -> DataFrame:
+    """(match, n): about how often each match of the pattern stands in all whole texts; those of over KEPT_BYTES bytes are left out.
 
-    each = docs.select("text").mapInArrow(counted, "word string, n long").where(F.octet_length("word") <= KEPT_BYTES)
-    return each.groupBy("word").agg(F.sum("n").alias("n"))
+    Texts are cut at spaces and counted as words, and only distinct words are cut into matches. What a
+    count says of a match decides whether its ids are worked out ahead, and nothing else.
+    """
+    parts = docs.select("text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(COUNTED_CHARS))).alias("at"))
+    words = parts.select(F.explode(F.split(F.substring("text", F.col("at") + 1, F.lit(COUNTED_CHARS)), " ")).alias("word")).where(F.octet_length("word").between(1, KEPT_BYTES)).groupBy("word").agg(F.count("*").alias("n"))
+    matches = words.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "word"), F.lit(PATTERN), F.lit(0))).alias("match"), "n")
+    return matches.where(F.octet_length("match") <= KEPT_BYTES).groupBy("match").agg(F.sum("n").alias("n"))
+
+
+def table_of(matches: pa.Table) -> AtomTable:
+    """The table of matches with their ids."""
+    out = AtomTable(np.uint16)
+    words = pa.concat_arrays([pa.array([], pa.binary()), *matches.column(0).cast(pa.binary()).chunks])
+    ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *matches.column(1).chunks])
+    if len(words):
+        data, bounds = text_bytes(words)
+        out.add(data, np.diff(bounds), ids.values.to_numpy(), np.diff(ids.offsets.to_numpy()))
+    return out
 
 
-def kept_words(docs: DataFrame, bpe: ByteBpe, words: int = KEPT_WORDS) -> pa.Buffer:
-    """The most frequent words of all documents with their ids, as a compressed Arrow table: at most words of them.
+def kept_matches(docs: DataFrame, bpe: ByteBpe, words: int = KEPT_WORDS) -> AtomTable:
+    """The most frequent matches of all documents with their ids, at most words of them.
 
-    All words of a count are kept or none, so that the choice needs no order of all words: counts are put into
-    classes, of which there are a thousand at most, and the highest classes that fit are taken.
+    All matches of a count are kept or none, so that the choice needs no order of all matches: counts are put
+    into classes, of which there are a thousand at most, and the highest classes that fit are taken.
     """
     grade = F.floor(F.log2("n") * 16)
-    counts = materialize(word_counts(docs).select("word", grade.alias("grade")), "bpe")
-    sizes = {r.grade: r["count"] for r in counts.groupBy("grade").count().collect()}
-    total, least = 0, None
-    for g in sorted(sizes, reverse=True):
-        if (total := total + sizes[g]) > words:
-            break
-        least = g
-    top = counts.where(F.lit(False) if least is None else F.col("grade") >= least).select("word")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = F.get(bpe.encode_all(F.array(F.concat(F.lit(" "), F.col("word")))), F.lit(0))
-    table = top.repartition(tasks, "word").select("word", ids.cast("array<int>").alias("ids")).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue()
-
-
-class _Known(dict):
-    """The ids of kept words as bytes; other words give a hole and are listed."""
-
-    def __init__(self, buffer: bytes) -> None:
-        self.rare: list[str] = []
-        for batch in pa.ipc.open_stream(pa.py_buffer(buffer)):
-            ids = batch.column(1)
-            raw, ends = ids.values.to_numpy().astype("<u2").tobytes(), (2 * ids.offsets.to_numpy()).tolist()
-            self.update(zip(batch.column(0).to_pylist(), [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-
-    def __missing__(self, word: str) -> bytes:
-        self.rare.append(" " + word)
+    with materialized(match_counts(docs).select("match", grade.alias("grade")), "bpe") as counts:
+        sizes = {r.grade: r["count"] for r in counts.groupBy("grade").count().collect()}
+        total, least = 0, None
+        for g in sorted(sizes, reverse=True):
+            if (total := total + sizes[g]) > words:
+                break
+            least = g
+        top = counts.where(F.lit(False) if least is None else F.col("grade") >= least).select("match")
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ids = F.get(bpe.fold_all(F.array("match")), F.lit(0))
+        return table_of(top.repartition(tasks, "match").select("match", ids.cast("array<int>").alias("ids")).toArrow())
+
+
+class Lookup:
+    """Looks up the ids of whole texts; a hole stands for each match that is not kept, which is listed."""
+
+    def __init__(self, kept: AtomTable, tokens: list[bytes]) -> None:
+        self.kept = kept
+        self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.matches = regex.compile(PATTERN).findall
+
+    def texts(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each text its ids as 16-bit integers, and its matches that are not kept."""
+        data, bounds = text_bytes(column)
+        at = starts(data, bounds)
+        n = np.diff(np.append(at, len(data)))
+        rows = self.kept.find(data, at, n, hashes(data, at, n))
+        rare: list[str] = []
+        others, holes = [], []
+        missed = np.flatnonzero(rows < 0)
+        for a, m in zip(at[missed].tolist(), n[missed].tolist(), strict=True):
+            others.append(self.cut(data[a : a + m].tobytes().decode(), rare))
+            holes.append(len(rare))
+        ids, each = joined(self.kept, rows, others)
+        first = np.searchsorted(at, bounds)  # of each text its first atom
+        id_at = np.concatenate([[0], np.cumsum(each)])[first]
+        rare_at = np.concatenate([[0], holes])[np.searchsorted(missed, first)]
+        coded = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((2 * id_at).astype(np.int32)), pa.py_buffer(ids)])
+        return coded, pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(rare, pa.string()))
+
+    def cut(self, text: str, rare: list[str]) -> bytes:
+        """The ids of an atom that is not kept as it is."""
+        found = self.matches(text)
+        if len(found) == 1:
+            return self.hole(text, rare)
+        words = [m.encode() for m in found]
+        data, n = np.frombuffer(b"".join(words), dtype=np.uint8), np.array([len(w) for w in words])
+        at = np.cumsum(n) - n
+        rows = self.kept.find(data, at, n, hashes(data, at, n))
+        return joined(self.kept, rows, [self.hole(found[i], rare) for i in np.flatnonzero(rows < 0)])[0].tobytes()
+
+    def hole(self, match: str, rare: list[str]) -> bytes:
+        if len(match) > LONG // 4 and len(data := match.encode()) > LONG:
+            return np.array(merge_long(data, self.ranks), dtype="<u2").tobytes()
+        rare.append(match)
         return HOLE
 
 
+def _filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch whose last two columns are _ids and _rare, and where each row's begin and end."""
+    coded, rare = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    rows = coded.to_pylist()
+    flat = np.frombuffer(b"".join(rows), dtype="<u2")
+    words = rare.flatten()
+    holes = flat == EDGE
+    n = np.ones(len(flat), dtype=np.int64)
+    n[holes] = np.diff(words.offsets.to_numpy())
+    ids = np.repeat(flat, n).astype("<u4")
+    ids[np.repeat(holes, n)] = words.flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids, ends[np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows])]).astype(np.int64)]
+
+
 _STATE: dict = {}
 
 
-def _with_rare_ids(docs: DataFrame, path: str, words: int) -> tuple[DataFrame, ByteBpe]:
-    """docs with _ids, the text's ids as 16-bit integers with a hole for each word that is not kept, and _rare, those words' ids."""
+def _encoded(docs: DataFrame, columns: Sequence[str], path: str, words: int) -> DataFrame:
+    """columns of docs with ids and id_bytes of its text; the text goes to the workers once, and with columns only if it is one of them."""
     spark = docs.sparkSession
     bpe = ByteBpe(spark, path)
-    shared = spark.sparkContext.broadcast(kept_words(docs, bpe, words).to_pybytes())
+    shared = spark.sparkContext.broadcast((kept_matches(docs, bpe, words), bpe.tokens))
     mark = shared._jbroadcast.id()
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _STATE.get("mark") != mark:
             _STATE.clear()
-            _STATE.update(mark=mark, known=_Known(shared.value))
-        known = _STATE["known"]
-        look = known.__getitem__
+            _STATE.update(mark=mark, lookup=Lookup(*shared.value))
+        lookup = _STATE["lookup"]
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(at, DOCS_AT_ONCE)
-                coded, rare = [], []
-                for text in some.column(0):
-                    first, *rest = space_pieces(text.as_py() or "")
-                    known.rare = [first] if first else []
-                    coded.append((HOLE if first else b"") + b"".join(map(look, rest)))
-                    rare.append(known.rare)
-                columns = [*some.columns[1:], pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], "_ids", "_rare"])
+            for some in bounded(batch, 0, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], *lookup.texts(some.column(0))], names=[*some.schema.names[1:], "_ids", "_rare"])
 
     fields = [T.StructField("_ids", T.BinaryType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
-    found = docs.select(F.col("text").alias("_text"), *docs.columns).mapInArrow(looked_up, T.StructType([*docs.schema.fields, *fields]))
-    return found.withColumn("_rare", bpe.encode_all(F.col("_rare"))), bpe
+    kept = [docs.schema[c] for c in columns]
+    found = docs.select(F.col("text").alias("_text"), *columns).mapInArrow(looked_up, T.StructType([*kept, *fields]))
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in bounded(batch, batch.num_columns - 2, BATCH_BYTES):
+                ids, at = _filled(some)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4")))
+                raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-2], lists, raw], names=[*some.schema.names[:-2], "ids", "id_bytes"])
 
-def _filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch whose last two columns are _ids and _rare, and where each row's begin and end."""
-    coded, rare = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-    rows = coded.to_pylist()
-    flat = np.frombuffer(b"".join(rows), dtype="<u2")
-    words = rare.flatten()
-    holes = flat == EDGE
-    n = np.ones(len(flat), dtype=np.int64)
-    n[holes] = np.diff(words.offsets.to_numpy())
-    ids = np.repeat(flat, n).astype("<u4")
-    ids[np.repeat(holes, n)] = words.flatten().to_numpy()
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return ids, ends[np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows])]).astype(np.int64)]
+    folded = found.withColumn("_rare", bpe.fold_all(F.col("_rare")))
+    return folded.mapInArrow(made, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_bytes", T.BinaryType())]))
 
 
 def encode_documents(docs: DataFrame, path: str, words: int = KEPT_WORDS) -> DataFrame:
-    """docs with ids, an array of the whole text's token ids.
+    """docs with ids, an array of the whole text's token ids, and id_bytes, the same as little-endian unsigned 32-bit integers.
+
+    A text is cut where the pattern must begin a match, and the atoms at their other matches. The ids of the corpus's most frequent distinct matches are folded once and
+    looked up; other matches, as good as all of which stand once or twice in a task, are folded for each
+    document. Nothing is shuffled but the counts of words.
 
-    A text is cut at single spaces between other characters, where the pattern always begins a match; the ids
-    of the corpus's most frequent words are folded once and looked up, all other words are folded where they
-    stand. Nothing is shuffled but the counts of words. A null or empty text has no ids; an empty table gives an
-    empty result; columns ids, _text, _ids and _rare of docs are replaced. A match of n bytes takes n steps over
-    at most n pieces.
+    A null or empty text has no ids; an empty table gives an empty result; rows that repeat, and rows with the
+    same doc_id, are encoded each for itself; columns ids, id_bytes, _text, _ids and _rare of docs are
+    replaced, all others stay. Texts and matches may have any length: a match of n bytes takes n steps over at
+    most n pieces up to LONG bytes, and n log n beyond.
     """
-    docs = docs.drop("ids", "_text", "_ids", "_rare")
-    found, _ = _with_rare_ids(docs, path, words)
+    docs = docs.drop("ids", "id_bytes", "_text", "_ids", "_rare")
+    return _encoded(docs, docs.columns, path, words)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at = _filled(batch)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*batch.schema.names[:-2], "ids"])
 
-    return found.mapInArrow(made, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.LongType()))]))
+def decode_ids(coded: DataFrame, path: str) -> DataFrame:
+    """coded with decoded, the bytes that its ids stand for; null ids give null, ids that are no token are left out."""
+    pieces = constants(coded.sparkSession, pieces=([t.decode("latin-1") for t in read_ranks(path)], "array<string>"))["pieces"]
+    each = F.transform("ids", lambda i: F.get(pieces, i))
+    return coded.withColumn("decoded", F.encode(F.array_join(each, ""), "ISO-8859-1"))  # a character of Latin-1 stands for each byte
 
 
 def round_trip(docs: DataFrame, path: str, words: int = KEPT_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, id_bytes, decoded): ids as little-endian unsigned 32-bit integers, and the text's bytes as they come from the ids."""
-    found, bpe = _with_rare_ids(docs.select("doc_id", "text"), path, words)
-    tokens = bpe.tokens
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = tokens.__getitem__
-        for batch in batches:
-            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(start, DOCS_AT_ONCE)
-                ids, at = _filled(some)
-                each = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                texts = [b"".join(map(piece, x.tolist())) for x in each]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "id_bytes", "decoded"])
+    """(doc_id, n_tokens, id_bytes, decoded) of every row of docs: its ids, and the bytes that come back from them.
 
-    doc_id = docs.schema["doc_id"]
-    kind = T.StructType([doc_id, T.StructField("n_tokens", T.LongType()), T.StructField("id_bytes", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return found.drop("text").mapInArrow(made, kind)
+    Nulls, empty and long texts, repeats and other columns are taken as encode_documents takes them: a null or
+    empty text has 0 tokens and empty bytes.
+    """
+    coded = decode_ids(_encoded(docs, ["doc_id"], path, words), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "id_bytes", "decoded")
