@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tripleforge.llm import atoms, byte_bpe, chat, embedding_dedup, language_id, mixing, ngram_join, pii, token_files, topk, url_filter
 from tripleforge.llm.hnsw import Hnsw
-from tripleforge.llm.wavelet import WaveletMatrix
+from tripleforge.llm.wavelet import TokenFile, WaveletMatrix
 
 TEXTS = ["The quick brown fox jumps over the lazy dog again", None, "", "a", "a b", "The Quick brown fox jumps over the lazy dog again", "x" * 3000, "it's  we'll\n\nend. 漢字 é 😀", "a b"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, row string"
@@ -102,40 +102,59 @@ def test_pii_field(docs, spark):
 
 
 def test_wavelet():
-    ids = np.random.default_rng(2).integers(0, 300, 5000).astype(np.uint16)
-    matrix = WaveletMatrix.read(WaveletMatrix.of(ids, 16).write())
-    assert (matrix.ids() == ids).all() and all(matrix.access(i) == ids[i] for i in range(0, 5000, 37))
+    ids = np.random.default_rng(2).integers(0, 300, 700_000).astype(np.uint16)
+    bounds = np.array([0, 0, 1, 5000, 700_000])
+    raw = TokenFile([None, 3, 3, -7], bounds, WaveletMatrix.of(ids, 16)).write()
+    file = TokenFile.read(raw)
+    matrix = file.matrix
+    assert file.doc_ids == [None, 3, 3, -7] and (file.bounds == bounds).all() and file.document(1) == ids[:1].tolist() and file.document(0) == []
+    assert all(matrix.access(i) == ids[i] for i in range(0, 700_000, 37_001))
+    matrix = TokenFile.read(raw).matrix
+    assert matrix.access(123_456) == ids[123_456] and max(p.reads for p in matrix.planes) == 1 and max(len(p.frames) for p in matrix.planes) == 2  # the other frames stay closed
+    assert (matrix.ids() == ids).all()
     for value in (0, 7, 299, 300, 70000):
         places = np.flatnonzero(ids == value)
-        assert matrix.count(value) == len(places) and matrix.count(value, 100, 900) == ((places >= 100) & (places < 900)).sum()
-        assert matrix.locate(value, 3) == (places[3] if len(places) > 3 else -1)
-    assert WaveletMatrix.read(WaveletMatrix.of(ids[:0], 16).write()).n == 0
-    with pytest.raises(ValueError):
-        WaveletMatrix.read(b"TFWM0001" + b"x" * 20)
+        assert matrix.count(value) == len(places) and matrix.count(value, 100, 9000) == ((places >= 100) & (places < 9000)).sum()
+        assert matrix.locate(value, 3) == (places[3] if len(places) > 3 else -1) and matrix.locate(value, len(places)) == -1
+    assert TokenFile.read(TokenFile([], np.array([0]), WaveletMatrix.of(ids[:0], 16)).write()).matrix.n == 0
+    for broken in (b"TFWM0002" + b"x" * 20, raw[:-1], raw[:200] + b"x" + raw[201:]):
+        with pytest.raises(ValueError):
+            TokenFile.read(broken)
 
 
-def test_token_files(docs):
+def test_token_files(docs, spark):
     path = P.path("byte_bpe_50k.json")
-    files = token_files.write_files(docs, path, file_bytes=2000)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_files(files).collect())
+    odd = [*TEXTS, "<|endoftext|>", "a <|endoftext|>b", "y" * 9000]
+    table = docs.select("doc_id", "text", F.lit("x").alias("part"), F.lit("y").alias("data")).union(spark.createDataFrame([(i + len(TEXTS), t, "x", "y") for i, t in enumerate(odd[len(TEXTS) :])] + [(None, "null id", "x", "y")], "doc_id long, text string, part string, data string"))
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want, start = [], 0
-    for key, text in sorted([*enumerate(TEXTS), (0, TEXTS[0])], key=lambda x: x[0]):
+    for key, text in [(None, "null id"), *sorted([*enumerate(odd), (0, TEXTS[0])], key=lambda x: x[0])]:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert got == want
-    assert sum(r.occurrences for r in token_files.find_token(files, 0).collect()) == len(want)
+    for size in (2000, 1 << 20):
+        files = token_files.write_files(table, path, file_bytes=size)
+        got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_files(files).collect()), key=lambda x: x[1])
+        assert got == want
+        assert sum(r.occurrences for r in token_files.find_token(files, 0).collect()) == len(want)
+        assert [r.ids for r in token_files.document_ids(files, 7).collect()] == [[*plain.encode(odd[7], add_special_tokens=False).ids, 0]]
+        assert token_files.find_token(files, 70_000).agg(F.sum("occurrences")).first()[0] == 0
     assert token_files.read_files(token_files.write_files(docs.limit(0), path)).count() == 0
 
 
-def test_encoder_cuts_where_matches_begin():
-    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"), 0, np.uint16)
+def encoded(encoder, texts):
+    ids, n = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+@pytest.mark.parametrize("kept", [50, 1_000_000])
+def test_encoder_cuts_where_matches_begin(kept):
+    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"), 0, np.uint16, kept)
     rng = np.random.default_rng(3)
-    parts = ["a", " ", "\n", "word", ",", ".", "  ", "\t", "é", "😀", "'s", "12", "<|endoftext|>", " "]
-    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), 14)) for _ in range(800)]
-    assert encoder.encode(texts) == [np.array([*x.ids, 0], dtype=np.uint16).tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    parts = ["a", " ", "\n", "word", ",", ".", "  ", "\t", "é", "😀", "'s", "12", "<|endoftext|>", " ", "漢", "\xa0"]
+    for _ in range(3):
+        texts = ["".join(parts[i] for i in rng.integers(0, len(parts), 14)) for _ in range(500)]
+        assert encoded(encoder, [*texts, None, "z" * 600]) == [[*x.ids, 0] for x in encoder.tokenizer.encode_batch([*texts, "", "z" * 600], add_special_tokens=False)]
 
 
 def test_ngram_join(spark):

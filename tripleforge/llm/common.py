@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +15,6 @@ from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage defines it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: White space beside a space.
-_ODD_SPACE = re.compile(r" \s|[^\S ] ")
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -72,15 +68,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def space_pieces(text: str) -> list[str]:
-    """A text cut at each single space between two other characters, where a byte-level pattern always begins a new match."""
-    if not _ODD_SPACE.search(text) and text[:1] != " " and text[-1:] != " ":
-        return text.split(" ")
-    if not _BREAK.search(text):
-        return [text]
-    return _BREAK.split(text)
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
