@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Kinds of bytes: OTHER is what is not told apart, parts of characters outside ASCII mostly.
 OTHER, LETTER, DIGIT, MARK, QUOTE, SPACE, BREAK = range(7)
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that are worked on at once; longer atoms than LONGEST are in no table.
-WINDOW, LONGEST = 1 << 20, 256
+WINDOW, LONGEST = 1 << 18, 256
 _POWERS = np.cumprod(np.full(LONGEST + 1, _FACTOR, dtype=np.uint64))
 
 
@@ -44,6 +45,11 @@ for _a in (LETTER, DIGIT, MARK, QUOTE):
         _AFTER[_a * 8 + _b] |= not same and (_a, _b) != (QUOTE, LETTER)  # a quote may begin 's and the like
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: What a byte of a word counts: white space nothing, a capital letter as a small one.
+_LOWER = np.array([0 if _BLANK[i] else i + 1 + 32 * (65 <= i <= 90) for i in range(256)], dtype=np.uint64)
+
+
 def starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The places where atoms begin; bounds are the places where texts begin, and the end."""
     kind = _KIND[data]
@@ -77,6 +83,42 @@ def hashes(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a column of texts, A to Z as a to z, and the number of words of each text.
+
+    A word is a run of anything but ASCII white space; a null text has none.
+    """
+    data, bounds = text_bytes(column)
+    blank = _BLANK[data]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    inner = bounds[bounds < len(data)]
+    begins[inner] = ~blank[inner]
+    at = np.flatnonzero(begins)
+    ends = ~blank
+    ends[:-1] &= blank[1:]
+    last = inner[inner > 0] - 1
+    ends[last] = ~blank[last]
+    n = np.flatnonzero(ends) + 1 - at
+    counts = np.diff(np.searchsorted(at, bounds))
+    out = np.empty(len(at), dtype=np.uint64)
+    first = 0
+    while first < len(at):
+        to = max(first + 1, int(np.searchsorted(at, at[first] + WINDOW)))
+        lo = int(at[first])
+        hi = int(at[to - 1] + min(n[to - 1], LONGEST))
+        begin = (at[first:to] - lo).astype(np.int32)
+        sizes = np.diff(np.append(begin, hi - lo))
+        inside = np.arange(hi - lo, dtype=np.int32) - np.repeat(begin, sizes)
+        out[first:to] = np.add.reduceat(_POWERS[np.minimum(inside, LONGEST)] * _LOWER[data[lo:hi]], begin)
+        first = to
+    for i in np.flatnonzero(n > LONGEST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + n[i]].tobytes().lower())
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    return out ^ (out >> np.uint64(29)), counts
+
+
 def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places at, at + 1, ..., at + n - 1 of each pair, one after the other."""
     ends = np.cumsum(n, dtype=np.int64)

@@ -73,18 +73,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that it reaches.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum, so no
-    component is ever gathered in one task. Self loops give their node its own component. Each round is
-    written to the shared folder. Empty edges give an empty result.
+    component is ever gathered in one task; rounds go on until one changes nothing. Self loops give their node
+    its own component. Each round is written to the shared folder, and the one before deleted. Empty edges give
+    an empty result.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     last = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node links to the least of the node and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -95,7 +96,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         roots = large.where("a = b")
-        now = materialize(small.union(roots).where("a >= b").distinct(), "cc")
+        before, now = now, materialize(small.union(roots).where("a >= b").distinct(), "cc")
+        discard(before)
         state = now.where("a > b").agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -12,49 +12,49 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .atoms import word_hashes
+from .common import bounded, connected_components, discard, materialize
 
 #: Slots of the sketch of shingle counts (a power of two), and the rows that carry it.
 SLOT_BITS, CHUNKS = 21, 32
 #: Partial sketches that one task adds up at most.
 MERGE = 16
-DOCS_AT_ONCE = 1_024
+#: Bytes of text of which the shingles are held at once; a longer text is alone.
+BATCH_BYTES = 1 << 20
 #: Bits of the filter of texts to compare.
 FILTER_BITS = 1 << 22
-#: Further heads of a key that are compared with its rows before all pairs that are left.
-HEADS = 2
+#: Rows of a key that one task compares with all rows of the key; a key of more rows is hot, and HEADS further heads of it are compared first.
+BLOCK_ROWS, HEADS = 512, 6
+#: Keys of a set ahead of each that tell whether a pair has met before.
+EARLIER = 4
 #: The columns of a set's 256 parities: whether an odd number of its shingles fall in each class of hashes.
 ODD = ("o1", "o2", "o3", "o4")
+#: Classes of the finer parities, in column wide.
+WIDE = 1_024
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """Each text's distinct k-word shingles as sorted 64-bit hashes; of fewer words, the whole sequence as one."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        some = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
-        counts[i] = len(some)
-        words += some
-    if not words:
-        return [np.zeros(0, dtype=np.uint64)] * len(texts)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
 
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's distinct k-word shingles as sorted 64-bit hashes; of fewer words, the whole sequence as one."""
+    h, counts = word_hashes(texts)
     rolled = np.full(len(h), np.uint64(k), dtype=np.uint64)
-    for j in range(k):
-        rolled[: len(h) - j] = mixed(rolled[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:])
+    for j in range(min(k, len(h))):
+        rolled[: len(h) - j] = _mixed(rolled[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:])
     out = []
     starts = np.cumsum(counts) - counts
     for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
         if n >= k:
             out.append(np.unique(rolled[start : start + n - k + 1]))
         elif n:
-            short = xxhash.xxh3_64_intdigest(b"%d " % n + b" ".join(words[start : start + n]))
-            out.append(np.array([short], dtype=np.uint64))
+            short = np.array([n + 0x5A17], dtype=np.uint64)
+            for word in h[start : start + n]:
+                short = _mixed(short * np.uint64(0x9E3779B97F4A7C15) + word)
+            out.append(short)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -72,11 +72,9 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros(size, dtype=np.int64)
         task = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             task = batch.column(1)[0].as_py() if batch.num_rows else task
-            for at in range(0, len(texts), DOCS_AT_ONCE):
-                sets = shingle_sets(texts[at : at + DOCS_AT_ONCE], k)
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=size)
+            for some in bounded(batch, 0, BATCH_BYTES):
+                np.add.at(total, (np.concatenate(shingle_sets(some.column(0), k)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
         if total.any():
             rows = [zstandard.compress(total[i * part : (i + 1) * part].tobytes(), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "task", "data"])
@@ -99,7 +97,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """(doc_id, n, s1, s2, p1, p2, o1 to o4, prefix): the size, hash and parities of each document's set, and its prefix with its hash.
+    """(doc_id, n, s1, s2, p1, p2, o1 to o4, wide, prefix): the size, hash and parities of each document's set, and its prefix with its hash.
 
     Shingles are in the order of their slot's count, then of their hash; any two sets that are alike enough
     share one among the first n - ceil(percent * n / 100) + 1.
@@ -108,29 +106,28 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(at, DOCS_AT_ONCE)
-                rows: list[list] = [[] for _ in range(10)]
-                for x in shingle_sets(some.column(1).to_pylist(), k):
+            for some in bounded(batch, 1, BATCH_BYTES):
+                rows: list[list] = [[] for _ in range(11)]
+                for x in shingle_sets(some.column(1), k):
                     n = len(x)
                     order = counts[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | x >> np.uint64(8)
                     length = n - (percent * n + 99) // 100 + 1 if n else 0
                     prefix = np.sort(order)[:length] if length < 8 or n < 64 else np.sort(np.partition(order, length - 1)[:length])
                     whole, part = xxhash.xxh3_128_digest(x.tobytes()), xxhash.xxh3_128_digest(prefix.tobytes())
                     s, p = np.frombuffer(whole, dtype=np.int64), np.frombuffer(part, dtype=np.int64)
-                    odd = np.packbits((np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-                    for column, value in zip(rows, (n, *s.tolist(), *p.tolist(), *odd.tolist(), prefix.view(np.int64)), strict=True):
+                    odd = np.bincount((x & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
+                    wide = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                    few = np.packbits((odd.reshape(-1, 256).sum(axis=0) & 1).astype(np.uint8)).view(np.int64)
+                    for column, value in zip(rows, (n, *s.tolist(), *p.tolist(), *few.tolist(), wide, prefix.view(np.int64)), strict=True):
                         column.append(value)
-                arrays = [pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:9]], pa.array(rows[9], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *arrays], names=["doc_id", "n", "s1", "s2", "p1", "p2", *ODD, "prefix"])
+                arrays = [pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:9]], *[pa.array(c, pa.list_(pa.int64())) for c in rows[9:]]]
+                yield pa.RecordBatch.from_arrays([some.column(0), *arrays], names=["doc_id", "n", "s1", "s2", "p1", "p2", *ODD, "wide", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, o1 long, o2 long, o3 long, o4 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, o1 long, o2 long, o3 long, o4 long, wide array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles) of the wanted documents (doc)."""
-
-    # a bitmap of hashes, of fixed size, passes over most other texts; the join is exact
+    """(doc, shingles) of the wanted documents (doc), and of a few others: a bitmap of hashes, of fixed size, passes over most other texts."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     marks = wanted.select((slot + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -142,13 +139,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(marked.value[batch.column(2).to_numpy()]))
-            for at in range(0, some.num_rows, DOCS_AT_ONCE):
-                part = some.slice(at, DOCS_AT_ONCE)
-                sets = [x.view(np.int64) for x in shingle_sets(part.column(1).to_pylist(), k)]
+            for part in bounded(some, 1, BATCH_BYTES):
+                sets = [x.view(np.int64) for x in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").withColumn("slot", slot)
-    return texts.mapInArrow(made, "doc long, shingles array<long>").join(wanted, "doc", "left_semi")
+    return texts.mapInArrow(made, "doc long, shingles array<long>")
 
 
 def _alike(percent: int, same, n_a, n_b):
@@ -168,10 +164,18 @@ def _near(percent: int, a: str, b: str):
     return differ * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are alike: by their parities first, and then compared whole."""
-    a, b = (reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *ODD)]) for x in "ab")
-    pairs = materialize(pairs.join(a, "a").join(b, "b").where(_near(percent, "a_", "b_")).select("a", "b").distinct(), "ngram")
+def _near_wide(percent: int):
+    """As _near, from the parities in WIDE classes."""
+    differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, wide: bool = False) -> DataFrame:
+    """Those of pairs (a, b) whose sets are alike: by their parities first, in more classes where there are many pairs, and then compared whole."""
+    columns = ("n", "wide") if wide else ("n", *ODD)
+    a, b = (reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab")
+    near = _near_wide(percent) if wide else _near(percent, "a_", "b_")
+    pairs = materialize(pairs.join(a, "a").join(b, "b").where(near).select("a", "b").distinct(), "ngram")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = materialize(sets_of(docs, wanted, k), "ngram")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -198,7 +202,7 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(count_sketch(docs, k))
     found = materialize(prefixes(docs, k, percent, sketch), "ngram")
-    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep"), *[F.first(o).alias(o) for o in ODD]), "ngram")
+    reps = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("rep"), *[F.first(o).alias(o) for o in (*ODD, "wide")]), "ngram")
     groups = materialize(reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "ngram")
     # a group's prefix is that of its first document; rows of one doc_id with other texts are told apart by the hash
     heads = groups.select(F.col("gid").alias("doc_id"), "n", "p1", "p2")
@@ -224,31 +228,55 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reached = materialize(connected_components(links), "ngram")
 
     # what is left: pairs that share a shingle of their prefixes and are not in one component yet
-    listed = shared.select("key", "pos", "n", "gid").join(more, "gid", "left").select("key", "pos", "n", F.explode(F.array_distinct(F.array("gid", F.coalesce("rep", "gid")))).alias("rep")).distinct()
+    listed = shared.select("key", "pos", "n", "gid").join(more, "gid", "left").select("key", "pos", "n", F.explode(F.array_distinct(F.array("gid", F.coalesce("rep", "gid")))).alias("rep"))
     listed = listed.union(inside.select(F.xxhash64(F.lit("group"), "gid").alias("key"), F.lit(0).alias("pos"), "n", "rep"))
-    listed = materialize(listed.join(reps.select("rep", "n", *ODD), ["rep", "n"]), "ngram")
 
     def still_open(rows: DataFrame) -> DataFrame:
         """The rows of keys that stand in several components, with their component."""
         rows = rows.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        return materialize(rows.join(keys, "key", "left_semi"), "ngram")
-
-    columns = ("pos", "n", "rep", "component", *ODD)
-    for turn in range(HEADS):  # one more head a key, by a hash, against the rows of other components
-        listed = still_open(listed)
-        head = listed.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(F.lit(turn), "rep")).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in columns])
-        tried = listed.join(head, "key").where((F.col("component") != F.col("h_component")) & _possible(percent, "", "h_") & _near(percent, "", "h_"))
+        return rows.join(keys, "key", "left_semi")
+
+    # most keys are done with by now, so the parities come to what is left only, and the last few keys ahead of each
+    earlier = Window.partitionBy("rep", "n").orderBy("pos", "key").rowsBetween(-EARLIER, -1)
+    listed = still_open(listed).join(reps.select("rep", "n", *ODD), ["rep", "n"]).withColumn("ahead", F.collect_list("key").over(earlier))
+    listed = materialize(listed, "ngram")
+    columns = ("pos", "n", "rep", "component", *ODD, "ahead")
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        return tuple(listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
+
+    # the smaller set first; a pair that shares one of the last keys ahead has met there
+    meet = ~F.arrays_overlap("x_ahead", "y_ahead") & (F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")) & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_") & _near(percent, "x_", "y_")
+    def hot_keys() -> DataFrame:
+        return materialize(listed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "ngram")
+
+    hot = hot_keys()
+    is_hot = not hot.isEmpty()
+    if is_hot:  # further heads of each hot key, by hashes, against the rows of other components
+        rows_hot = listed.join(hot, "key", "left_semi")
+        heads = F.array(*[F.min_by(F.struct(*columns), F.xxhash64(F.lit(i), "rep")) for i in range(HEADS)])
+        head = rows_hot.groupBy("key").agg(heads.alias("h")).select("key", F.explode("h").alias("h")).select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in columns])
+        tried = rows_hot.join(head, "key").where((F.col("component") != F.col("h_component")) & _possible(percent, "", "h_") & _near(percent, "", "h_"))
         links = materialize(links.union(verified(tried.select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, k, percent)), "ngram")
         reached = materialize(connected_components(links), "ngram")
-    listed = still_open(listed)
-    x, y = (listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
-    # each pair once: the smaller set first
-    ordered = F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")
-    rest = x.join(y, "key").where(ordered & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_") & _near(percent, "x_", "y_")).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+        before, listed = (hot, listed), materialize(still_open(listed), "ngram")
+        hot = hot_keys()
+        for table in before:
+            discard(table)
+    x, y = sides()
+    if is_hot:  # rows of a hot key in blocks, each of which meets all rows of the key, so that no task has all pairs of a key
+        x, y = x.join(hot, "key", "left"), y.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        x = x.withColumn("block", F.pmod(F.xxhash64("x_rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        found_pairs = x.drop("blocks").join(y.drop("blocks"), ["key", "block"]).where(meet)
+    else:
+        found_pairs = x.join(y, "key").where(meet)
+    rest = found_pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "ngram")
-    links = materialize(links.union(verified(rest, reps, docs, k, percent)), "ngram")
+    links = materialize(links.union(verified(rest, reps, docs, k, percent, wide=True)), "ngram")
     reached = connected_components(links).withColumnRenamed("node", "rep")
+    for table in (hot, listed, rest, rows, inside, groups, first, links):  # the result reads found, reps and reached
+        discard(table)
 
     named = reps.select("n", "s1", "s2", "rep").join(reached, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
