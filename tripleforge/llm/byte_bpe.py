@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .atoms import AtomTable, hashes, joined, starts, text_bytes
-from .common import bounded, materialized
+from .common import bounded, give_back, materialized
 
 #: Matches of the pattern whose ids are folded once for the whole corpus and looked up at most; the others are folded where they stand.
 KEPT_WORDS = 1 << 20
@@ -313,24 +313,19 @@ def _filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, ends[np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows])]).astype(np.int64)]
 
 
-_STATE: dict = {}
-
-
 def _encoded(docs: DataFrame, columns: Sequence[str], path: str, words: int) -> DataFrame:
     """columns of docs with ids and id_bytes of its text; the text goes to the workers once, and with columns only if it is one of them."""
     spark = docs.sparkSession
     bpe = ByteBpe(spark, path)
     shared = spark.sparkContext.broadcast((kept_matches(docs, bpe, words), bpe.tokens))
-    mark = shared._jbroadcast.id()
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("mark") != mark:
-            _STATE.clear()
-            _STATE.update(mark=mark, lookup=Lookup(*shared.value))
-        lookup = _STATE["lookup"]
+        lookup = Lookup(*shared.value)  # quick to make, and gone with the task: idle workers hold nothing
         for batch in batches:
             for some in bounded(batch, 0, BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *lookup.texts(some.column(0))], names=[*some.schema.names[1:], "_ids", "_rare"])
+        del lookup
+        give_back()
 
     fields = [T.StructField("_ids", T.BinaryType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
     kept = [docs.schema[c] for c in columns]
@@ -343,6 +338,7 @@ def _encoded(docs: DataFrame, columns: Sequence[str], path: str, words: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4")))
                 raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([*some.columns[:-2], lists, raw], names=[*some.schema.names[:-2], "ids", "id_bytes"])
+        give_back()
 
     folded = found.withColumn("_rare", bpe.fold_all(F.col("_rare")))
     return folded.mapInArrow(made, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_bytes", T.BinaryType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,14 @@ def bounded(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         at, done = to, int(ends[to - 1])
 
 
+def give_back() -> None:
+    """Returns the memory that a worker has freed to the system, for workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

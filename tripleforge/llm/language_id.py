@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, give_back
+
+#: Bytes of texts that are taken at once; a longer text is alone.
+BATCH_BYTES = 1 << 20
 #: Bytes of a window; of a text's windows only the last may be shorter.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -188,7 +192,7 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in bounded(whole, at, BATCH_BYTES)):
             texts = batch.column(at).to_pylist()
             labels, scores = ["und"] * len(texts), [0.0] * len(texts)
             some = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
@@ -198,6 +202,7 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
                 for i, b, s in zip(part, best.tolist(), score.tolist(), strict=True):
                     labels[i], scores[i] = model.labels[b], float(min(1.0, max(0.0, s)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(identified, f"{fields}, lang_pred string, score double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .atoms import word_hashes
-from .common import bounded, connected_components, discard, materialize
+from .common import bounded, connected_components, discard, give_back, materialize
 
 #: Slots of the sketch of shingle counts (a power of two), and the rows that carry it.
 SLOT_BITS, CHUNKS = 21, 32
@@ -78,6 +78,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         if total.any():
             rows = [zstandard.compress(total[i * part : (i + 1) * part].tobytes(), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "task", "data"])
+        give_back()
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zstandard.decompress(d), dtype=np.int64) for d in group["data"])
@@ -122,6 +123,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
                         column.append(value)
                 arrays = [pa.array(rows[0], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[1:9]], *[pa.array(c, pa.list_(pa.int64())) for c in rows[9:]]]
                 yield pa.RecordBatch.from_arrays([some.column(0), *arrays], names=["doc_id", "n", "s1", "s2", "p1", "p2", *ODD, "wide", "prefix"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n int, s1 long, s2 long, p1 long, p2 long, o1 long, o2 long, o3 long, o4 long, wide array<long>, prefix array<long>")
 
@@ -142,6 +144,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for part in bounded(some, 1, BATCH_BYTES):
                 sets = [x.view(np.int64) for x in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").withColumn("slot", slot)
     return texts.mapInArrow(made, "doc long, shingles array<long>")

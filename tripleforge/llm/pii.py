@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: none, then the kinds.
 LABELS = ("none", *KINDS)
@@ -305,6 +307,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+#: Bytes of texts that are labelled at once; a longer text is alone.
+BATCH_BYTES = 1 << 20
 #: Passages that train a field at most, the characters of each, and the groups in which they are drawn.
 TRAIN_ROWS, TRAIN_CHARS, SALTS = 1_024, 1_024, 64
 
@@ -317,7 +321,7 @@ def fit_field(docs: DataFrame, rows: int = TRAIN_ROWS) -> SkipChainField:
     return SkipChainField().fit([r.text for r in sorted(first.select("h", "text").collect())])
 
 
-def find_pii(docs: DataFrame, field: SkipChainField, batch_chars: int = 1 << 20) -> DataFrame:
+def find_pii(docs: DataFrame, field: SkipChainField, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs' columns with n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans, starts, kinds and ends.
 
     The base spans are those of the contract's patterns over the whole text; the field adds spans of tokens
@@ -331,18 +335,8 @@ def find_pii(docs: DataFrame, field: SkipChainField, batch_chars: int = 1 << 20)
     at = docs.columns.index("text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            results: list = []
-            some: list[str] = []
-            size = 0
-            for text in texts:
-                some.append(text)
-                size += len(text)
-                if size >= batch_chars:
-                    results += field.label(some)
-                    some, size = [], 0
-            results += field.label(some)
+        for batch in (some for whole in batches for some in bounded(whole, at, batch_bytes)):
+            results = field.label([t or "" for t in batch.column(at).to_pylist()])
             counts = [[sum(k == kind for _, k, _ in base) for base, _ in results] for kind in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -374,16 +368,22 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def redact(docs: DataFrame, field: SkipChainField) -> DataFrame:
-    """docs with the personal data of text replaced by kind, and n_chars set to the new length; every document stays."""
-    at, size = docs.columns.index("text"), docs.columns.index("n_chars")
+    """docs with the personal data of text replaced by kind, and n_chars, where docs has it, set to the new length; every document stays.
+
+    A null text stays null with a null n_chars, an empty one empty; a long text is masked whole; rows that
+    repeat are masked alike; all other columns stay as they are; an empty table gives an empty result.
+    """
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in bounded(whole, at, BATCH_BYTES)):
             texts = batch.column(at).to_pylist()
             new = [mask(t, spans) for t, (_, spans) in zip(texts, field.label([t or "" for t in texts]), strict=True)]
             columns = list(batch.columns)
-            columns[at], columns[size] = pa.array(new, pa.string()), pa.array([None if t is None else len(t) for t in new], pa.int64())
+            columns[at] = pa.array(new, pa.string())
+            if size is not None:
+                columns[size] = pa.array([None if t is None else len(t) for t in new], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    docs = docs.withColumn("n_chars", F.col("n_chars").cast("bigint"))
+    docs = docs if size is None else docs.withColumn("n_chars", F.col("n_chars").cast("bigint"))
     return docs.mapInArrow(masked, docs.schema)
