@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,12 +74,41 @@ def role_state(role: str | None) -> int:
     return ROLES.get(ALIASES.get(name, name), START)
 
 
-def segment_costs(roles: list[int]) -> np.ndarray:
-    """Least costs from each state before the turns to each state after them."""
-    total = np.where(np.eye(4, dtype=bool), 0, INFINITE)
+def segment_costs(roles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs from each state before the turns to each state after them, and the order of the states before.
+
+    Of several states before with equal costs in all, the one of the lowest order for a state after begins the
+    way that `repair` takes through the whole conversation: the way through the lowest states from the end.
+    """
+    total, order = np.where(np.eye(4, dtype=bool), 0, INFINITE), np.tile(np.arange(4)[:, None], (1, 4))
+    entry = np.arange(4)[:, None]
     for role in roles:
-        total = np.minimum((total[:, :, None] + COSTS[role][None]).min(axis=1), INFINITE)
-    return total
+        through = total[:, :, None] + COSTS[role][None]
+        before = through.argmin(axis=1)
+        total = np.minimum(through.min(axis=1), INFINITE)
+        order = (before * 4 + order[entry, before]).argsort(axis=0, kind="stable").argsort(axis=0)
+    return total, order
+
+
+def least_costs(roles: list[int]) -> list[int]:
+    """Least costs from nothing to each state after the turns."""
+    cost = [0, INFINITE, INFINITE, INFINITE]
+    for role in roles:
+        moves = MOVES[role]
+        cost = [INFINITE, *(min(INFINITE, *(cost[s] + moves[s][to][0] for s in range(4))) for to in (SYSTEM, USER, ASSISTANT))]
+    return cost
+
+
+_MARK, _MARKED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+
+
+def escape(text: str) -> str:
+    """text with a backslash more in each <|, so that no text reads as a mark; `unescape` undoes it."""
+    return _MARK.sub(r"<\1\\|", text)
+
+
+def unescape(text: str) -> str:
+    return _MARKED.sub(r"<\1|", text)
 
 
 def repair(roles: list[int], entry: int, last: int) -> tuple[int, list[tuple]]:
@@ -109,9 +139,9 @@ def render(edits: list[tuple], texts: list[str | None], entry: int, closing: lis
     is_open = entry != START
     for (kind, path, to, _), text in zip(edits, texts, strict=True):
         if kind == "merge":
-            out.append("\n" + (text or ""))
+            out.append("\n" + escape(text or ""))
             continue
-        for role, body in (*((r, "") for r in path), (to, text or "")):
+        for role, body in (*((r, "") for r in path), (to, escape(text or ""))):
             out.append(("<|end|>\n" if is_open else "") + f"<|{NAMES[role]}|>\n{body}")
             is_open = True
     if closing is not None:
@@ -123,13 +153,14 @@ def render(edits: list[tuple], texts: list[str | None], entry: int, closing: lis
 OUT = "piece int, n_turns bigint, cost bigint, n_merged bigint, n_relabelled bigint, n_inserted bigint, rendered string"
 
 
-def format_chats(conversations: DataFrame, id_column: str = "conv_id") -> DataFrame:
+def format_chats(conversations: DataFrame, id_column: str = "conv_id", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     """(id, piece, n_turns, cost, n_merged, n_relabelled, n_inserted, rendered) of every conversation.
 
     A legal conversation has at most one system turn, at its start, then user and assistant turns in
     alternation, and ends with the assistant. Each turn is kept, relabelled or merged with the turn before it,
     and empty turns are inserted; the sequence of edits with the least total cost is found by dynamic
-    programming over the last turn's role. rendered has a mark before and after every turn.
+    programming over the last turn's role, of equal ones the one through the lowest states from the end.
+    rendered has a mark before and after every turn; in texts, what would read as a mark is escaped.
 
     A conversation longer than a segment is several pieces, whose texts put together in order are the whole;
     their edits are those of the whole conversation's cheapest repair: each segment's costs between states
@@ -150,16 +181,20 @@ def format_chats(conversations: DataFrame, id_column: str = "conv_id") -> DataFr
         held: list = []
         names, texts, size, number, part = [], [], 0, 0, 0
 
-        def row() -> tuple:
-            return held[0], part * 2**32 + number, list(names), list(texts), segment_costs([role_state(r) for r in names]).ravel().tolist()
+        whole = False  # whether the conversation of this segment cannot be in others: it begins and ends within this partition
+
+        def row(last: bool) -> tuple:
+            costs, ways = ([], []) if whole and not last else (x.ravel().tolist() for x in segment_costs([role_state(r) for r in names]))
+            return held[0], part * 2**32 + number, list(names), list(texts), costs, ways
 
-        schema = pa.schema([("_id", id_type), ("segment", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("costs", pa.list_(pa.int64()))])
+        schema = pa.schema([("_id", id_type), ("segment", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("costs", pa.list_(pa.int64())), ("ways", pa.list_(pa.int64()))])
         done: list[tuple] = []
         weight = 0
         for batch in batches:
             for key, role, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (key != held[0] or len(names) >= SEGMENT_TURNS or size >= SEGMENT_BYTES):
-                    done.append(row())
+                if held and (key != held[0] or len(names) >= segment_turns or size >= SEGMENT_BYTES):
+                    done.append(row(key == held[0]))
+                    whole = key != held[0]
                     weight += size
                     number += 1
                     names, texts, size = [], [], 0
@@ -172,22 +207,22 @@ def format_chats(conversations: DataFrame, id_column: str = "conv_id") -> DataFr
                 texts.append(text)
                 size += len(text or "")
         if names:
-            done.append(row())
+            done.append(row(True))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
     id_type = to_arrow_type(rows.schema["_id"].dataType)
-    cut = materialize(dealt.mapInArrow(segments, f"_id {kind}, segment bigint, roles array<string>, texts array<string>, costs array<bigint>"), "chat")
+    cut = materialize(dealt.mapInArrow(segments, f"_id {kind}, segment bigint, roles array<string>, texts array<string>, costs array<bigint>, ways array<bigint>"), "chat")
     # conversations of several segments: their matrices only, at most one for SEGMENT_TURNS turns or SEGMENT_BYTES of text
     counts = cut.groupBy(F.col("_id").alias("_many")).agg(F.count("*").alias("n")).where("n > 1")
-    several = cut.select("_id", "segment", "costs").join(counts, F.col("_id").eqNullSafe(F.col("_many")), "left_semi")
+    several = cut.select("_id", "segment", "costs", "ways").join(counts, F.col("_id").eqNullSafe(F.col("_many")), "left_semi")
 
     def chained(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("segment")
         states, back = np.array([0, INFINITE, INFINITE, INFINITE]), []
-        for costs in group["costs"]:
+        for costs, ways in zip(group["costs"], group["ways"], strict=True):
             through = states[:, None] + np.asarray(costs).reshape(4, 4)
-            back.append(through.argmin(axis=0))
+            back.append(np.where(through == through.min(axis=0), np.asarray(ways).reshape(4, 4), 4).argmin(axis=0))
             states = np.minimum(through.min(axis=0), INFINITE)
         at = int(np.argmin([states[s] + INSERT * len(CLOSING[s]) for s in range(4)]))
         out = []
@@ -207,7 +242,7 @@ def format_chats(conversations: DataFrame, id_column: str = "conv_id") -> DataFr
                 states = [role_state(r) for r in roles]
                 if piece is None:
                     piece, entry, is_last = 0, START, True
-                    costs = segment_costs(states)[START]
+                    costs = least_costs(states)
                     last = int(np.argmin([costs[s] + INSERT * len(CLOSING[s]) for s in range(4)]))
                 cost, edits = repair(states, entry, last)
                 closing = CLOSING[last] if is_last else None
