@@ -71,8 +71,8 @@ def hashes(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     out = np.empty(len(at), dtype=np.uint64)
     first = 0
     while first < len(at):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + WINDOW)))
-        lo, hi = int(at[first]), int(at[last - 1] + n[last - 1])
+        last = max(first + 1, int(np.searchsorted(at, at.dtype.type(at[first] + WINDOW))))
+        lo, hi = int(at[first]), int(at[last - 1]) + int(n[last - 1])
         begin = (at[first:last] - lo).astype(np.int32)
         inside = np.arange(hi - lo, dtype=np.int32) - np.repeat(begin, n[first:last])
         terms = _POWERS[np.minimum(inside, LONGEST)] * (data[lo:hi].astype(np.uint64) + np.uint64(1))
@@ -138,7 +138,7 @@ class AtomTable:
         return len(self.hash)
 
     def _index(self) -> None:
-        self.bits = max(1, len(self.hash).bit_length() + 1)
+        self.bits = max(1, len(self.hash).bit_length())
         sizes = np.bincount((self.hash >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         self.deepest = int(sizes.max())
@@ -148,14 +148,17 @@ class AtomTable:
 
         Returns the table's new order: of each atom its number among the old ones with the new ones after them.
         """
-        at = np.cumsum(n) - n
-        hash_ = np.concatenate([self.hash, hashes(data, at, n)])
-        order = np.argsort(hash_, kind="stable")
+        at = (np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
+        hash_ = hashes(data, at, n)
+        if len(self.hash):
+            hash_ = np.concatenate([self.hash, hash_])
+        order = np.argsort(hash_, kind="stable").astype(np.uint32)
         self.hash = hash_[order]
-        self.data_at = np.concatenate([self.data_at, (at + len(self.data)).astype(np.uint32)])[order]
+        del hash_
+        self.data_at = np.concatenate([self.data_at, at + np.uint32(len(self.data))])[order]
         self.data_n = np.concatenate([self.data_n, n.astype(np.uint32)])[order]
         self.data = np.concatenate([self.data, data])
-        self.ids_at = np.concatenate([self.ids_at, (np.cumsum(ids_n) - ids_n + len(self.ids)).astype(np.uint32)])[order]
+        self.ids_at = np.concatenate([self.ids_at, (np.cumsum(ids_n, dtype=np.int64) - ids_n + len(self.ids)).astype(np.uint32)])[order]
         self.ids_n = np.concatenate([self.ids_n, ids_n.astype(np.uint32)])[order]
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
         self._index()

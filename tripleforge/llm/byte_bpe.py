@@ -18,7 +18,7 @@ from .atoms import AtomTable, hashes, joined, starts, text_bytes
 from .common import bounded, give_back, materialized
 
 #: Matches of the pattern whose ids are folded once for the whole corpus and looked up at most; the others are folded where they stand.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 3 << 18
 #: Bytes of a kept match at most; together with KEPT_WORDS this bounds what is broadcast.
 KEPT_BYTES = 48
 #: Bytes of text that a worker takes at once, and bytes of a match from which on a heap finds the next merge.
@@ -222,14 +222,22 @@ def match_counts(docs: DataFrame) -> DataFrame:
     return matches.where(F.octet_length("match") <= KEPT_BYTES).groupBy("match").agg(F.sum("n").alias("n"))
 
 
-def table_of(matches: pa.Table) -> AtomTable:
-    """The table of matches with their ids."""
+def table_of(matches: list[pa.Table]) -> AtomTable:
+    """The table of matches with their ids; takes the one Arrow table out of the list, so that it is freed as soon as it is read."""
     out = AtomTable(np.uint16)
-    words = pa.concat_arrays([pa.array([], pa.binary()), *matches.column(0).cast(pa.binary()).chunks])
-    ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *matches.column(1).chunks])
-    if len(words):
-        data, bounds = text_bytes(words)
-        out.add(data, np.diff(bounds), ids.values.to_numpy(), np.diff(ids.offsets.to_numpy()))
+    words, ids = (matches[0].column(c).chunks for c in range(2))
+    matches.clear()
+    data, lengths = [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.uint32)]
+    while words:
+        some, bounds = text_bytes(words.pop(0).cast(pa.binary()))
+        data.append(some)
+        lengths.append(np.diff(bounds).astype(np.uint32))
+    coded, counts = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.uint32)]
+    while ids:
+        some = ids.pop(0)
+        coded.append(some.flatten().to_numpy().astype(np.uint16))
+        counts.append(np.diff(some.offsets.to_numpy()).astype(np.uint32))
+    out.add(np.concatenate(data), np.concatenate(lengths), np.concatenate(coded), np.concatenate(counts))
     return out
 
 
@@ -250,7 +258,7 @@ def kept_matches(docs: DataFrame, bpe: ByteBpe, words: int = KEPT_WORDS) -> Atom
         top = counts.where(F.lit(False) if least is None else F.col("grade") >= least).select("match")
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ids = F.get(bpe.fold_all(F.array("match")), F.lit(0))
-        return table_of(top.repartition(tasks, "match").select("match", ids.cast("array<int>").alias("ids")).toArrow())
+        return table_of([top.repartition(tasks, "match").select("match", ids.cast("array<int>").alias("ids")).toArrow()])
 
 
 class Lookup:
@@ -318,6 +326,7 @@ def _encoded(docs: DataFrame, columns: Sequence[str], path: str, words: int) ->
     spark = docs.sparkSession
     bpe = ByteBpe(spark, path)
     shared = spark.sparkContext.broadcast((kept_matches(docs, bpe, words), bpe.tokens))
+    give_back()
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(*shared.value)  # quick to make, and gone with the task: idle workers hold nothing
