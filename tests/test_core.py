@@ -115,3 +115,57 @@ def test_query(spark, duck, name):
         assert sorted(repr(tuple(r[c] for c in columns)) for r in rows) == want
     else:
         assert rows
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    (tmp_path / "r%201.graphml").write_text("""<?xml version='1.0' encoding='utf-8'?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns a.xsd">
+<key id="d1" for="edge" attr.name="inference" attr.type="string"/><key id="d0" for="edge" attr.name="relation" attr.type="string"/>
+<graph edgedefault="directed"><node id="a"/><node id="b &amp; c"/><node id="d"/>
+<edge source="a" target="b &amp; c"><data key="d0"></data></edge><edge source="b &amp; c" target="d"><data key="d1">explicit</data><data key="d0">is &lt; of</data></edge><edge source="d" target="a"/></graph></graphml>""")
+    nodes, edges = readers.read_graphml(spark, str(tmp_path))
+    assert [(r.record_id, r.node) for r in nodes.orderBy("node_seq").collect()] == [("r 1", "a"), ("r 1", "b & c"), ("r 1", "d")]
+    assert [(r.src, r.dst, r.relation, r.inference) for r in edges.orderBy("edge_seq").collect()] == [("a", "b & c", "", None), ("b & c", "d", "is < of", "explicit"), ("d", "a", None, None)]
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([("r", f"{i:04d}", f"{i + 1:04d}") for i in range(300)], "record_id string, src string, dst string")
+    assert {r.component for r in G.components(edges, 0).collect()} == {"0000"}
+
+
+def test_answers_without_json_are_errors(spark):
+    records = spark.createDataFrame([("a", "x"), ("b", "y")], "record_id string, text string")
+    config = ClientConfig("replay", options={"a": 'Here: [{"head": "h", "relation": "r", "tail": "t"}]', "b": "I cannot do that"})
+    found, errors = A.extract(records, config, get_domain("default"))
+    assert [(r.record_id, r.head) for r in found.collect()] == [("a", "h")]
+    assert [(r.record_id, r.step, r.message) for r in errors.collect()] == [("b", "extract", "no JSON in the answer: I cannot do that")]
+
+
+def test_requests_are_sent_again(monkeypatch):
+    import http.client
+    import io
+
+    from tripleforge.clients import LLMClientError
+    from tripleforge.clients import http as H
+
+    sent = []
+
+    def broken(request, timeout):
+        sent.append(request)
+        if len(sent) < 3:
+            raise http.client.RemoteDisconnected("gone")
+        return io.BytesIO(b'{"ok": 1}')
+
+    monkeypatch.setattr(H, "PAUSE", 0)
+    monkeypatch.setattr(H.urllib.request, "urlopen", broken)
+    assert H.post("http://x", {}, {}, 1) == {"ok": 1} and len(sent) == 3
+    sent.clear()
+    monkeypatch.setattr(H.urllib.request, "urlopen", lambda request, timeout: (_ for _ in ()).throw(ConnectionResetError("reset")))
+    with pytest.raises(LLMClientError):
+        H.post("http://x", {}, {}, 1)
+
+
+def test_triples_of_odd_file_names(spark, tmp_path):
+    for name in ("a+b", "100%", "r%201", "plain"):
+        (tmp_path / f"{name}.json").write_text('[{"head": "h", "relation": "r", "tail": "t"}]')
+    assert {r.record_id for r in readers.read_triples(spark, str(tmp_path)).collect()} == {"a+b", "100%", "r 1", "plain"}

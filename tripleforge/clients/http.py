@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
+import time
 import urllib.error
 import urllib.request
 from typing import Any
@@ -12,13 +14,26 @@ from .base import ClientConfig, LLMClientError, register_client
 
 
 def post(url: str, body: dict[str, Any], headers: dict[str, str], timeout: int) -> dict[str, Any]:
-    """The JSON answer to a JSON request; any failure is a client error with the first 500 characters of what is known."""
+    """The JSON answer to a JSON request; any failure is a client error with the first 500 characters of what is known.
+
+    A broken connection, a time-out, and a server that is busy or failing are tried again, up to TRIES times in
+    all, after a pause that doubles; a request that the server refuses is not.
+    """
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-    try:
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            return json.load(answer)
-    except (urllib.error.URLError, TimeoutError, ValueError) as e:
-        raise LLMClientError(f"{url}: {e}"[:500]) from e
+    for again in range(TRIES - 1, -1, -1):
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return json.load(answer)
+        except (OSError, http.client.HTTPException, ValueError) as e:
+            refused = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code != 429
+            if not again or refused or isinstance(e, ValueError):
+                raise LLMClientError(f"{url}: {e!r}"[:500]) from e
+            time.sleep(PAUSE * 2 ** (TRIES - 1 - again))
+    raise AssertionError
+
+
+#: Times that a request is sent at most, and seconds before the second time.
+TRIES, PAUSE = 3, 0.5
 
 
 class _Http:
@@ -53,7 +68,7 @@ class OllamaClient(_Http):
     model, url = "llama3.1", "http://localhost:11434"
 
     def ask(self, prompt: str) -> str:
-        body = {"model": self.model_id, "prompt": prompt, "stream": False, "format": "json", "options": {"temperature": self.config.temperature}}
+        body = {"model": self.model_id, "prompt": prompt, "stream": False, "options": {"temperature": self.config.temperature}}
         return _field(post(f"{self.base.removesuffix('/v1')}/api/generate", body, {}, self.config.timeout), "response")
 
 

@@ -67,15 +67,24 @@ def json_span(text: Column) -> Column:
     return F.when(found == "", text).otherwise(found)
 
 
-def response_items(text: Column) -> Column:
-    """The items of a model's response as an array of variants: a list, an object's list under a usual key, or the object; null if it is no JSON."""
-    value = F.try_parse_json(json_span(unfenced(text)))
+def response_value(text: Column) -> Column:
+    """What a model's response says, as a variant; null if it is no JSON."""
+    return F.try_parse_json(json_span(unfenced(text)))
+
+
+def value_items(value: Column) -> Column:
+    """The items of a response's value, a column of its own so that it is parsed once: a list, an object's list under a usual key, or the object."""
     lists = [F.try_variant_get(value, f"$.{k}", "array<variant>") for k in ("items", "triples", "data", "results", "extractions")]
     kind = F.schema_of_variant(value)
     listed = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array(value))
     return F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), listed).when(value.isNotNull(), F.array().cast("array<variant>"))
 
 
+def response_items(text: Column) -> Column:
+    """The items of a model's response as an array of variants; null if it is no JSON."""
+    return value_items(response_value(text))
+
+
 def render_prompt(template: str, record_json: Column, guidance: str) -> Column:
     """The template with guidance and then the record in their places; guidance follows at the end where the template has no place for it."""
     if "{{schema_constraints}}" in template:

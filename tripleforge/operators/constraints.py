@@ -58,11 +58,12 @@ def example_triples(example: dict) -> list[dict]:
 
 
 def collect_constraints(constrained: bool, entity_types: Sequence[str], relation_types: Sequence[str], examples: Sequence[dict] = ()) -> Constraints:
-    """A domain's constraints: in constrained mode its schema's labels and the relations of its examples; in open mode none."""
+    """A domain's constraints: in constrained mode its schema's labels and the relations of its examples; in open mode, or without any label, none."""
     if not constrained:
         return Constraints()
     used = [t["relation"] for e in examples for t in example_triples(e) if isinstance(t.get("relation"), str)]
-    return Constraints(True, distinct_labels(entity_types), distinct_labels([*relation_types, *used]))
+    types, relations = distinct_labels(entity_types), distinct_labels([*relation_types, *used])
+    return Constraints(bool(types or relations), types, relations)
 
 
 def relation_allowed(c: Constraints) -> Column:

@@ -71,11 +71,12 @@ def _join_small(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "node": nodes, "component": [root(x) for x in nodes]})
 
 
-def components(edges: DataFrame, group_edges: int = GROUP_EDGES, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(record_id, node, component): the least node that undirected edges reach.
 
     A record with at most group_edges edges is one group of a grouped function; larger records take rounds of
-    the least label of neighbours and of the label's own label, each checkpointed where all executors see it.
+    the least label of neighbours and of the label's own label, each checkpointed where all executors see it,
+    until a round changes nothing.
     """
     counts = edges.groupBy("record_id").agg(F.count("*").alias("_n"))
     small = edges.join(counts.where(F.col("_n") <= group_edges), "record_id", "left_semi")
@@ -86,7 +87,7 @@ def components(edges: DataFrame, group_edges: int = GROUP_EDGES, rounds: int = 2
     big = edges.join(large, "record_id", "left_semi")
     both = big.select("record_id", "src", "dst").union(big.select("record_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = both.select("record_id", F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), ["record_id", "dst"]).groupBy("record_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
         up = labels.select("record_id", F.col("node").alias("component"), F.col("component").alias("up"))
         new = labels.join(near, ["record_id", "node"], "left").join(up, ["record_id", "component"], "left").select("record_id", "node", F.col("component").alias("old"), F.least("component", "near", "up").alias("component")).checkpoint()

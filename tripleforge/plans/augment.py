@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..clients import ClientConfig, LLMClientError, create_client
-from ..functions.text import label_key, render_prompt, response_items, sanitize_control, strip
+from ..functions.text import label_key, render_prompt, response_value, sanitize_control, strip, value_items
 from ..operators import graph
 from ..operators import triples as T
 from ..operators.constraints import judge
@@ -50,7 +50,8 @@ def call_model(prompts: DataFrame, config: ClientConfig, kind: str, iteration: i
 
 def parse_triples(responses: DataFrame, *keep: str) -> DataFrame:
     """(record_id, seq, triple fields) of the objects in responses, and the columns keep; answers that are no JSON give none."""
-    items = responses.select("record_id", *keep, F.posexplode(response_items(sanitize_control(F.col("response")))).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    values = responses.select("record_id", *keep, response_value(sanitize_control(F.col("response"))).alias("value"))
+    items = values.select("record_id", *keep, F.posexplode(value_items(F.col("value"))).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
     return items.select("record_id", *keep, "seq", *[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in FIELDS])
 
 
@@ -69,7 +70,8 @@ def extract(records: DataFrame, config: ClientConfig, domain: Domain) -> tuple[D
     """(triples, errors) of a model's extraction, normalised and within the domain's constraints.
 
     Each text goes in chunks of max_char_buffer characters, extraction_passes times; of a triple that a later
-    pass finds again the first is kept. A record with a failed call has one error and no triples. The rule
+    pass finds again the first is kept. A record with a failed call, or
+    with an answer that holds no JSON, has one error and no triples. The rule
     client reads whole texts, and always the same in them: it gets one call.
     """
     limits = domain.constraints("extraction")
@@ -80,7 +82,8 @@ def extract(records: DataFrame, config: ClientConfig, domain: Domain) -> tuple[D
     pieces = pieces.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(0 if whole else config.extraction_passes - 1))))
     prompt = render_prompt(domain.prompt("extraction"), F.to_json(F.struct("record_id", "text")), limits.guidance())
     answers = call_model(pieces.select("record_id", "text", "pass", "chunk", prompt.alias("prompt")), config, "extract", keep=("pass", "chunk"))
-    bad = answers.where("error IS NOT NULL")
+    unread = F.when(F.col("error").isNull() & response_value(sanitize_control(F.col("response"))).isNull(), F.concat(F.lit("no JSON in the answer: "), F.substring(F.coalesce("response", F.lit("")), 1, 400)))
+    bad = answers.withColumn("error", F.coalesce("error", unread)).where("error IS NOT NULL")
     good = answers.join(bad.select("record_id"), "record_id", "left_anti")
     parsed = parse_triples(good, "pass", "chunk")
     found = T.normalize(parsed)
@@ -156,7 +159,8 @@ def entity_resolution(records: DataFrame, triples: DataFrame, config: ClientConf
     excerpt = T.source_excerpt(records)
     asked = names.join(excerpt, "record_id").select("record_id", F.col("excerpt").alias("text"), render_prompt(domain.prompt("entity_resolution"), F.to_json(F.struct("excerpt", "entities")), "").alias("prompt"))
     answers = call_model(asked, config, "augment")
-    items = answers.select("record_id", F.posexplode(response_items(F.col("response"))).alias("seq", "item"))
+    values = answers.select("record_id", response_value(F.col("response")).alias("value"))
+    items = values.select("record_id", F.posexplode(value_items(F.col("value"))).alias("seq", "item"))
     groups = items.select("record_id", "seq", F.try_variant_get("item", "$.canonical", "string").alias("canonical"), F.try_variant_get("item", "$.variants", "array<string>").alias("variants"))
     mapping = T.invert_groups(groups)
     return T.apply_mapping(triples, mapping), mapping

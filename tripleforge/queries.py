@@ -231,6 +231,18 @@ ORACLE_SQL = {
     "augmented_only_nodes": f"WITH {_GT} SELECT record_id, node FROM ends EXCEPT SELECT record_id, node FROM ends WHERE inference <> 'contextual'",
     "filter_by_origin": f"WITH {_GT} SELECT record_id, node FROM org WHERE origin = 'extracted'",
     "connected_components": f"WITH RECURSIVE {_CC} SELECT * FROM c",
+    "component_summary": f"""WITH RECURSIVE {_CC},
+mm AS (SELECT record_id, seq, 0 AS pos, head AS node, head, relation, tail FROM t UNION ALL SELECT record_id, seq, 1, tail, head, relation, tail FROM t),
+mc AS (SELECT mm.*, component FROM mm JOIN c USING (record_id, node)),
+en AS (SELECT record_id, component, node, min(seq * 2 + pos) AS place FROM mc GROUP BY ALL),
+er AS (SELECT *, row_number() OVER (PARTITION BY record_id, component ORDER BY place, node) AS k FROM en),
+ea AS (SELECT record_id, component, count(*) AS n_entities, string_agg(node, ', ' ORDER BY k) FILTER (k <= 15) AS e FROM er GROUP BY ALL),
+tn AS (SELECT DISTINCT record_id, component, seq, '(' || head || ') --[' || relation || ']--> (' || tail || ')' AS s FROM mc),
+tr AS (SELECT *, row_number() OVER (PARTITION BY record_id, component ORDER BY seq, s) AS k FROM tn),
+ta AS (SELECT record_id, component, count(*) AS n_triples, string_agg(s, '; ' ORDER BY k) FILTER (k <= 10) AS l FROM tr GROUP BY ALL)
+SELECT record_id, component, n_entities, n_triples, e || CASE WHEN n_entities > 15 THEN ' ... (+' || (n_entities - 15) || ' more)' ELSE '' END AS entities,
+  l || CASE WHEN n_triples > 10 THEN ' ... (+' || (n_triples - 10) || ' more)' ELSE '' END AS triples
+FROM ea JOIN ta USING (record_id, component)""",
     "component_count": f"WITH RECURSIVE {_CC} SELECT record_id, count(DISTINCT component) AS n_components FROM c GROUP BY 1",
     "neighborhood": f"WITH {_GT} SELECT record_id, src AS node FROM edges WHERE src = 'the' OR dst = 'the' UNION SELECT record_id, dst FROM edges WHERE src = 'the' OR dst = 'the'",
     "search_nodes": f"WITH {_GT}, h AS (SELECT record_id, node FROM n WHERE contains(lower(node), 'th')), b AS (SELECT record_id, src AS x, dst AS y FROM edges UNION SELECT record_id, dst, src FROM edges), a AS (SELECT record_id, node, true AS m FROM h UNION ALL SELECT b.record_id, y, false FROM b JOIN h ON h.record_id = b.record_id AND h.node = x) SELECT record_id, node, bool_or(m) AS is_match FROM a GROUP BY 1, 2",

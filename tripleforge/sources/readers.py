@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRIPLE = "struct<head:string,relation:string,tail:string,inference:string,justification:string>"
@@ -29,7 +29,7 @@ def detect_format(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a file or folder, each with seq, its place: source order where the format has one."""
+    """The rows of a file or folder, by its format."""
     kind = detect_format(path)
     if kind == "parquet":
         return spark.read.parquet(path)
@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_records(rows: DataFrame, text_field: str = "text", id_field: str = "id", record_ids: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
-    """rows with record_id and text: those of record_ids (none: all), the first limit of them by id (0 or none: all).
+    """rows with record_id and text: those of record_ids (none: all), the first limit of them in the order in which they are read (0 or none: all).
 
     Ids compare as strings. A missing field is an error; other columns stay.
     """
@@ -63,23 +63,44 @@ def load_records(rows: DataFrame, text_field: str = "text", id_field: str = "id"
     if record_ids:
         kept = kept.where(F.col(id_field).cast("string").isin([str(x) for x in record_ids]))
     if limit:
-        kept = kept.orderBy(id_field).limit(limit)
+        kept = kept.withColumn("_place", F.monotonically_increasing_id()).orderBy("_place").limit(limit).drop("_place")
     others = [c for c in rows.columns if c not in ("record_id", "text")]
     return kept.select(F.col(id_field).cast("string").alias("record_id"), F.col(text_field).cast("string").alias("text"), *others)
 
 
+def _stem(ending: str) -> Column:
+    """The record that a file's name stands for: the name is escaped once by the scan and once by the writers; other names stay as they are."""
+    decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = decoded(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{ending}$", 1))
+    return F.coalesce(decoded(name), name)
+
+
 def read_triples(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, seq, triple fields) from a folder with a JSON array for each record; files that hold none are left out."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)).alias("record_id"), F.try_parse_json("value").alias("v"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(_stem("json").alias("record_id"), F.try_parse_json("value").alias("v"))
     listed = files.where(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))).select("record_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("seq", "item"))
     fields = [F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in ("head", "relation", "tail", "inference", "justification")]
     return listed.select("record_id", "seq", *fields)
 
 
+_GRAPHML = "key array<struct<_id:string,`_attr.name`:string>>, graph struct<node:array<struct<_id:string>>,edge:array<struct<_source:string,_target:string,data:array<struct<_key:string,_VALUE:string>>>>>"
+
+
 def read_graphml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a folder of GraphML files."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.graphml").select(F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.graphml$", 1)).alias("record_id"), F.regexp_replace("value", r'\sxmlns="[^"]*"', "").alias("x"))
-    nodes = files.select("record_id", F.posexplode(F.xpath("x", F.lit("//node/@id"))).alias("node_seq", "node"))
-    parts = [F.xpath("x", F.lit(p)) for p in ("//edge/@source", "//edge/@target", "//edge/data[@key='relation']/text()", "//edge/data[@key='inference']/text()")]
-    edges = files.select("record_id", F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("src", "dst", "relation", "inference"), strict=True)])).alias("edge_seq", "e"))
-    return nodes, edges.select("record_id", "edge_seq", "e.*")
+    """(nodes, edges) of a folder of GraphML files: nodes (record_id, node_seq, node), edges (record_id, edge_seq, src, dst, relation, inference).
+
+    Each edge is read as an element of its own. An attribute's key is the one that a key element gives its
+    name, or else the name itself; an edge without the attribute has null, one with an empty value an empty
+    string. Attributes that are meant for nodes and edges alike may share a name.
+    """
+    text = F.regexp_replace("value", r"\s+xmlns(:\w+)?=\"[^\"]*\"|\s+xsi:[\w]+=\"[^\"]*\"", "")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.graphml").select(_stem("graphml").alias("record_id"), F.from_xml(text, _GRAPHML, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}).alias("x"))
+    nodes = files.select("record_id", F.posexplode("x.graph.node").alias("node_seq", "n")).select("record_id", "node_seq", F.col("n._id").alias("node"))
+    edges = files.select("record_id", F.col("x.key").alias("keys"), F.posexplode("x.graph.edge").alias("edge_seq", "e"))
+
+    def attribute(name: str) -> Column:
+        named = F.transform(F.filter(F.coalesce("keys", F.array().cast("array<struct<_id:string,`_attr.name`:string>>")), lambda k: k["_attr.name"] == name), lambda k: k["_id"])
+        keys = F.concat(named, F.array(F.lit(name)))
+        return F.get(F.transform(F.filter("e.data", lambda d: F.array_contains(keys, d["_key"])), lambda d: F.coalesce(d["_VALUE"], F.lit(""))), F.lit(0)).alias(name)
+
+    return nodes, edges.select("record_id", "edge_seq", F.col("e._source").alias("src"), F.col("e._target").alias("dst"), attribute("relation"), attribute("inference"))
