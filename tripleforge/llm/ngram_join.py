@@ -246,39 +246,39 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     listed = materialize(listed, "ngram")
     columns = ("pos", "n", "rep", "component", *ODD, "ahead")
 
-    def sides() -> tuple[DataFrame, DataFrame]:
-        return tuple(listed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
+    def sides(rows: DataFrame) -> tuple[DataFrame, ...]:
+        return tuple(rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
 
     # the smaller set first; a pair that shares one of the last keys ahead has met there
     meet = ~F.arrays_overlap("x_ahead", "y_ahead") & (F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")) & (F.col("x_component") != F.col("y_component")) & _possible(percent, "x_", "y_") & _near(percent, "x_", "y_")
-    def hot_keys() -> DataFrame:
-        return materialize(listed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "ngram")
-
-    hot = hot_keys()
-    is_hot = not hot.isEmpty()
-    if is_hot:  # further heads of each hot key, by hashes, against the rows of other components
-        rows_hot = listed.join(hot, "key", "left_semi")
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        x, y = sides(rows)
+        return x.join(y, "key").where(meet).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+
+    hot = materialize(listed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS).select("key"), "ngram")
+    done = [hot, listed]
+    if hot.isEmpty():
+        found_pairs = pairs_of(listed)
+    else:  # further heads of each hot key, by hashes, against its rows of other components; the rows of other keys stay as they are
+        rows_hot = materialize(listed.join(hot, "key", "left_semi"), "ngram")
         heads = F.array(*[F.min_by(F.struct(*columns), F.xxhash64(F.lit(i), "rep")) for i in range(HEADS)])
         head = rows_hot.groupBy("key").agg(heads.alias("h")).select("key", F.explode("h").alias("h")).select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in columns])
         tried = rows_hot.join(head, "key").where((F.col("component") != F.col("h_component")) & _possible(percent, "", "h_") & _near(percent, "", "h_"))
         links = materialize(links.union(verified(tried.select(F.col("h_rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, k, percent)), "ngram")
         reached = materialize(connected_components(links), "ngram")
-        before, listed = (hot, listed), materialize(still_open(listed), "ngram")
-        hot = hot_keys()
-        for table in before:
-            discard(table)
-    x, y = sides()
-    if is_hot:  # rows of a hot key in blocks, each of which meets all rows of the key, so that no task has all pairs of a key
-        x, y = x.join(hot, "key", "left"), y.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        x = x.withColumn("block", F.pmod(F.xxhash64("x_rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        found_pairs = x.drop("blocks").join(y.drop("blocks"), ["key", "block"]).where(meet)
-    else:
-        found_pairs = x.join(y, "key").where(meet)
-    rest = found_pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+        left_hot = materialize(still_open(rows_hot), "ngram")
+        # rows of a hot key in blocks, each of which meets all rows of the key, so that no task has all pairs of a key
+        blocks = left_hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        x, y = (side.join(blocks, "key") for side in sides(left_hot))
+        x, y = x.withColumn("block", F.pmod(F.xxhash64("x_rep"), F.col("blocks")).cast("int")).drop("blocks"), y.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        found_hot = x.join(y, ["key", "block"]).where(meet).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+        found_pairs = pairs_of(listed.join(hot, "key", "left_anti")).union(found_hot)
+        done += [rows_hot, left_hot]
+    rest = found_pairs.distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "ngram")
     links = materialize(links.union(verified(rest, reps, docs, k, percent, wide=True)), "ngram")
     reached = connected_components(links).withColumnRenamed("node", "rep")
-    for table in (hot, listed, rest, rows, inside, groups, first, links):  # the result reads found, reps and reached
+    for table in (*done, rest, rows, inside, groups, first, links):  # the result reads found, reps and reached
         discard(table)
 
     named = reps.select("n", "s1", "s2", "rep").join(reached, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
