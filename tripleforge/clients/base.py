@@ -11,6 +11,14 @@ class LLMClientError(Exception):
     """A call that gave no usable answer."""
 
 
+#: What a client has where its configuration says nothing.
+CLIENT_DEFAULTS: dict[str, dict[str, Any]] = {
+    "gemini": {"model_id": "gemini-2.0-flash", "max_workers": 10},
+    "lmstudio": {"model_id": "local-model", "base_url": "http://localhost:1234/v1", "api_key": "lm-studio", "max_workers": 5, "batch_length": 5},
+    "ollama": {"model_id": "llama3.1", "base_url": "http://localhost:11434", "max_workers": 5, "batch_length": 5},
+}
+
+
 @dataclass(frozen=True)
 class ClientConfig:
     """max_char_buffer, extraction_passes: characters of a text in one prompt of an extraction, and how often all of it is read; max_workers: calls of one task at a time; batch_length: calls handed to them at a time."""
@@ -28,6 +36,9 @@ class ClientConfig:
     options: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        for name, value in CLIENT_DEFAULTS.get(self.client_type, {}).items():
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, value)
         for name in ("max_char_buffer", "extraction_passes", "max_workers", "batch_length"):
             value = getattr(self, name)
             if value is None and name in ("max_workers", "batch_length"):

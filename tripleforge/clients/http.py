@@ -37,11 +37,11 @@ TRIES, PAUSE = 3, 0.5
 
 
 class _Http:
-    model, url = "", ""
+    url = ""
 
     def __init__(self, config: ClientConfig) -> None:
         self.config = config
-        self.model_id = config.model_id or self.model
+        self.model_id = config.model_id
         self.base = (config.base_url or self.url).rstrip("/")
 
     def ask(self, prompt: str) -> str:
@@ -65,8 +65,6 @@ def _field(answer: Any, *path: str | int) -> str:
 
 @register_client("ollama")
 class OllamaClient(_Http):
-    model, url = "llama3.1", "http://localhost:11434"
-
     def ask(self, prompt: str) -> str:
         body = {"model": self.model_id, "prompt": prompt, "stream": False, "options": {"temperature": self.config.temperature}}
         return _field(post(f"{self.base.removesuffix('/v1')}/api/generate", body, {}, self.config.timeout), "response")
@@ -74,17 +72,15 @@ class OllamaClient(_Http):
 
 @register_client("lmstudio")
 class LMStudioClient(_Http):
-    model, url = "local-model", "http://localhost:1234/v1"
-
     def ask(self, prompt: str) -> str:
         body = {"model": self.model_id, "messages": [{"role": "user", "content": prompt}], "temperature": self.config.temperature}
-        headers = {"Authorization": f"Bearer {self.config.api_key or 'lm-studio'}"}
+        headers = {"Authorization": f"Bearer {self.config.api_key}"}
         return _field(post(f"{self.base}/chat/completions", body, headers, self.config.timeout), "choices", 0, "message", "content")
 
 
 @register_client("gemini")
 class GeminiClient(_Http):
-    model, url = "gemini-2.0-flash", "https://generativelanguage.googleapis.com/v1beta"
+    url = "https://generativelanguage.googleapis.com/v1beta"
 
     def ask(self, prompt: str) -> str:
         key = self.config.api_key or os.environ.get("LANGEXTRACT_API_KEY") or os.environ.get("GOOGLE_API_KEY")

@@ -72,9 +72,16 @@ def response_value(text: Column) -> Column:
     return F.try_parse_json(json_span(unfenced(text)))
 
 
-def value_items(value: Column) -> Column:
-    """The items of a response's value, a column of its own so that it is parsed once: a list, an object's list under a usual key, or the object."""
+def value_items(value: Column, any_key: bool = False) -> Column:
+    """The items of a response's value, a column of its own so that it is parsed once: a list, an object's list under a usual key, or the object.
+
+    any_key: of an object without a usual key the first list under any key counts, keys in the order that the value keeps.
+    """
     lists = [F.try_variant_get(value, f"$.{k}", "array<variant>") for k in ("items", "triples", "data", "results", "extractions")]
+    if any_key:
+        fields = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+        found = F.filter(fields, lambda x: F.startswith(F.schema_of_variant(x), F.lit("ARRAY")))
+        lists.append(F.try_variant_get(F.get(found, F.lit(0)), "$", "array<variant>"))
     kind = F.schema_of_variant(value)
     listed = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array(value))
     return F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), listed).when(value.isNotNull(), F.array().cast("array<variant>"))
@@ -85,6 +92,13 @@ def response_items(text: Column) -> Column:
     return value_items(response_value(text))
 
 
+def item_field(item: Column, name: str) -> Column:
+    """A field of a response's item: its own, that of its attributes, or, if those are null or absent, that of an object that its extraction_text spells out."""
+    text = strip(F.try_variant_get(item, "$.extraction_text", "string"))
+    spelled = F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(text))
+    return F.coalesce(*[F.try_variant_get(v, f"$.{p}{name}", "string") for v, p in ((item, ""), (item, "attributes."), (spelled, ""))])
+
+
 def render_prompt(template: str, record_json: Column, guidance: str) -> Column:
     """The template with guidance and then the record in their places; guidance follows at the end where the template has no place for it."""
     if "{{schema_constraints}}" in template:

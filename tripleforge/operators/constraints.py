@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -70,27 +71,28 @@ def relation_allowed(c: Constraints) -> Column:
     return label_key(F.col("relation")).isin(*sorted(c.relations)) if c.relations else F.lit(True)
 
 
-def type_labels(columns: Sequence[str]) -> Column:
-    """The stripped, non-empty labels of the type fields, which are arrays of strings."""
-    parts = [F.coalesce(F.col(x), F.array().cast("array<string>")) for x in TYPE_FIELDS if x in columns]
+def type_labels(columns: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
+    """The stripped, non-empty labels of the type fields: arrays of strings, or strings, which are one label each."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(F.concat(F.col(x), none) if kinds is None or kinds.get(x, "").startswith("array") else F.when(F.col(x).isNotNull(), F.array(F.col(x))), none) for x in TYPE_FIELDS if x in columns]
     if not parts:
         return F.array().cast("array<string>")
     return F.filter(F.transform(F.flatten(F.array(*parts)), strip), lambda x: x != "")
 
 
-def types_allowed(c: Constraints, columns: Sequence[str]) -> Column:
+def types_allowed(c: Constraints, columns: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
     """Whether a triple's entity types are allowed: true, false, or null where nothing tells."""
     if not c.types:
         return F.lit(True)
     known = sorted(c.types)
-    labels = type_labels(columns)
+    labels = type_labels(columns, kinds)
     fits = lambda x: label_key(x).isin(*known)
     return F.when(F.size(labels) > 0, F.forall(labels, fits)).when(label_key(F.col("relation")).isin(*TYPE_RELATIONS), fits(F.col("head")) | fits(F.col("tail")))
 
 
 def judge(triples: DataFrame, c: Constraints) -> DataFrame:
     """triples with relation_ok, type_ok (null: skipped) and reasons; accepted ones have no reasons."""
-    judged = triples.withColumn("relation_ok", relation_allowed(c) if c.enforce else F.lit(True)).withColumn("type_ok", types_allowed(c, triples.columns) if c.enforce else F.lit(True))
+    judged = triples.withColumn("relation_ok", relation_allowed(c) if c.enforce else F.lit(True)).withColumn("type_ok", types_allowed(c, triples.columns, dict(triples.dtypes)) if c.enforce else F.lit(True))
     reasons = F.filter(F.array(F.when(~F.col("relation_ok"), "relation_type"), F.when(~F.col("type_ok"), "entity_type")), lambda x: x.isNotNull())
     return judged.withColumn("reasons", reasons)
 
@@ -106,6 +108,14 @@ def summary(judged: DataFrame) -> DataFrame:
     )
 
 
+def warn_of_rejects(stage: str, judged: DataFrame) -> int:
+    """How many triples the constraints reject, with a Python warning if there are any: counts, not rows, come to the driver."""
+    n = judged.where(F.size("reasons") > 0).count()
+    if n:
+        warnings.warn(f"{stage}: the schema rejects {n} triples", stacklevel=2)
+    return n
+
+
 def rejected_samples(judged: DataFrame, most: int = 5) -> DataFrame:
     w = Window.partitionBy("record_id").orderBy("seq")
     bad = judged.where(F.size("reasons") > 0).withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= most)

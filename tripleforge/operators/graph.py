@@ -169,6 +169,13 @@ def communities(edges: DataFrame) -> DataFrame:
     return edges.groupBy("record_id").applyInPandas(_communities, "record_id string, node string, community int")
 
 
+def community_links(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(record_id, low, high, n): how many edges join each two different communities of members (record_id, node, community)."""
+    of = members.select("record_id", "node", "community")
+    ends = edges.select("record_id", "src", "dst").join(of.toDF("record_id", "src", "a"), ["record_id", "src"]).join(of.toDF("record_id", "dst", "b"), ["record_id", "dst"]).where("a <> b")
+    return ends.groupBy("record_id", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.count("*").alias("n"))
+
+
 def circle_layout(members: DataFrame, width: float = 1200.0, height: float = 800.0) -> DataFrame:
     """(record_id, node, x, y): each community's nodes on a circle, the communities on a larger one."""
     w = Window.partitionBy("record_id", "community")
@@ -179,12 +186,23 @@ def circle_layout(members: DataFrame, width: float = 1200.0, height: float = 800
     return placed.select("record_id", "node", (width / 2 + reach * F.cos(around) + local * F.cos(angle)).alias("x"), (height / 2 + reach * F.sin(around) + local * F.sin(angle)).alias("y"))
 
 
-def node_elements(nodes: DataFrame, edges: DataFrame, label: int = 25, shown: int = 3) -> DataFrame:
-    """A view's nodes: label, degree, origin and whether the label shows."""
+def node_elements(nodes: DataFrame, edges: DataFrame, label: int = 25, shown: int = 3, members: DataFrame | None = None) -> DataFrame:
+    """A view's nodes: short and full label, degree, origin and whether the label shows; with members (record_id, node, community) also the community, 0 for nodes without one."""
     joined = nodes.join(degrees(edges), ["record_id", "node"], "left").join(origins(edges), ["record_id", "node"], "left")
     short = F.when(F.length("node") > label, F.concat(F.substring("node", 1, label), F.lit("..."))).otherwise(F.col("node"))
     degree = F.coalesce("degree", F.lit(0)).cast("long")
-    return joined.select("record_id", F.col("node").alias("id"), short.alias("label"), degree.alias("degree"), F.coalesce("origin", F.lit("extracted")).alias("origin"), (degree >= shown).alias("show_label"))
+    extra = []
+    if members is not None:
+        joined = joined.join(members.select("record_id", "node", "community"), ["record_id", "node"], "left")
+        extra = [F.coalesce("community", F.lit(0)).alias("community")]
+    return joined.select("record_id", F.col("node").alias("id"), short.alias("label"), F.col("node").alias("full_label"), degree.alias("degree"), F.coalesce("origin", F.lit("extracted")).alias("origin"), (degree >= shown).alias("show_label"), *extra)
+
+
+def view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(record_id, elements): each record's nodes, with their communities, and edges as the JSON that a page draws."""
+    n = node_elements(nodes, edges, members=communities(edges)).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "full_label", "degree", "origin", "show_label", "community"))).alias("nodes"))
+    e = edge_elements(edges).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target", "label", "inference", "edge_class"))).alias("edges"))
+    return n.join(e, "record_id", "left").select("record_id", F.to_json(F.struct("nodes", "edges")).alias("elements"))
 
 
 def edge_elements(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..clients import ClientConfig, LLMClientError, create_client
-from ..functions.text import label_key, render_prompt, response_value, sanitize_control, strip, value_items
+from ..functions.text import item_field, label_key, render_prompt, response_value, sanitize_control, strip, value_items
 from ..operators import graph
 from ..operators import triples as T
 from ..operators.constraints import judge
@@ -48,11 +48,11 @@ def call_model(prompts: DataFrame, config: ClientConfig, kind: str, iteration: i
     return prompts.select("record_id", "text", "prompt", *keep).mapInPandas(called, f"record_id string, response string, error string{kept}").checkpoint()
 
 
-def parse_triples(responses: DataFrame, *keep: str) -> DataFrame:
-    """(record_id, seq, triple fields) of the objects in responses, and the columns keep; answers that are no JSON give none."""
+def parse_triples(responses: DataFrame, *keep: str, any_key: bool = False) -> DataFrame:
+    """(record_id, seq, triple fields) of the objects in responses, and the columns keep; answers that are no JSON give none. any_key: see value_items."""
     values = responses.select("record_id", *keep, response_value(sanitize_control(F.col("response"))).alias("value"))
-    items = values.select("record_id", *keep, F.posexplode(value_items(F.col("value"))).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
-    return items.select("record_id", *keep, "seq", *[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in FIELDS])
+    items = values.select("record_id", *keep, F.posexplode(value_items(F.col("value"), any_key)).alias("seq", "item")).where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    return items.select("record_id", *keep, "seq", *[item_field(F.col("item"), c).alias(c) for c in FIELDS])
 
 
 def chunks(text: str, size: int) -> list[str]:
@@ -80,12 +80,12 @@ def extract(records: DataFrame, config: ClientConfig, domain: Domain) -> tuple[D
     cut = F.udf(lambda text: chunks(text or "", size), "array<string>")
     pieces = records.select("record_id", F.lit(0).alias("chunk"), "text") if whole else records.select("record_id", F.posexplode(cut("text")).alias("chunk", "text"))
     pieces = pieces.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(0 if whole else config.extraction_passes - 1))))
-    prompt = render_prompt(domain.prompt("extraction"), F.to_json(F.struct("record_id", "text")), limits.guidance())
+    prompt = render_prompt(domain.full_prompt("extraction"), F.to_json(F.struct("record_id", "text")), limits.guidance())
     answers = call_model(pieces.select("record_id", "text", "pass", "chunk", prompt.alias("prompt")), config, "extract", keep=("pass", "chunk"))
     unread = F.when(F.col("error").isNull() & response_value(sanitize_control(F.col("response"))).isNull(), F.concat(F.lit("no JSON in the answer: "), F.substring(F.coalesce("response", F.lit("")), 1, 400)))
     bad = answers.withColumn("error", F.coalesce("error", unread)).where("error IS NOT NULL")
     good = answers.join(bad.select("record_id"), "record_id", "left_anti")
-    parsed = parse_triples(good, "pass", "chunk")
+    parsed = parse_triples(good, "pass", "chunk", any_key=config.client_type == "gemini")
     found = T.normalize(parsed)
     if not whole:
         first = F.min("pass").over(Window.partitionBy("record_id", "head", "relation", "tail"))
@@ -134,7 +134,7 @@ def connectivity(records: DataFrame, triples: DataFrame, config: ClientConfig, d
         numbered = parts.groupBy("record_id", "n").agg(F.array_sort(F.collect_list("part")).alias("parts"))
         current = mine.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("seq", *FIELDS))).alias("current")).select("record_id", F.transform("current", lambda t: F.struct(*[t[c].alias(c) for c in FIELDS])).alias("current_triples"))
         lines = F.array_join(F.transform("parts", lambda x, i: F.concat(F.lit("Component "), (i + 1).cast("string"), F.lit(": "), F.to_json(x))), "\n")
-        prompt = F.concat(render_prompt(domain.prompt("connectivity"), F.to_json(F.struct("record_id", "text", "current_triples")), limits.guidance()), F.lit("\n"), lines)
+        prompt = F.concat(render_prompt(domain.full_prompt("connectivity"), F.to_json(F.struct("record_id", "text", "current_triples")), limits.guidance()), F.lit("\n"), lines)
         asked = records.select("record_id", "text").join(numbered, "record_id").join(current, "record_id").select("record_id", "text", "n", prompt.alias("prompt"))
         answers = call_model(asked, config, "augment", iteration)
         bad = answers.where("error IS NOT NULL").select("record_id")
@@ -157,7 +157,7 @@ def entity_resolution(records: DataFrame, triples: DataFrame, config: ClientConf
     used = T.entities(triples).join(edges, ["record_id", "entity"], "left").select("record_id", F.struct(F.col("entity").alias("name"), "edges").alias("entity"))
     names = used.groupBy("record_id").agg(F.array_sort(F.collect_list("entity")).alias("entities")).where(F.size("entities") > 1)
     excerpt = T.source_excerpt(records)
-    asked = names.join(excerpt, "record_id").select("record_id", F.col("excerpt").alias("text"), render_prompt(domain.prompt("entity_resolution"), F.to_json(F.struct("excerpt", "entities")), "").alias("prompt"))
+    asked = names.join(excerpt, "record_id").select("record_id", F.col("excerpt").alias("text"), render_prompt(domain.full_prompt("entity_resolution"), F.to_json(F.struct("excerpt", "entities")), "").alias("prompt"))
     answers = call_model(asked, config, "augment")
     values = answers.select("record_id", response_value(F.col("response")).alias("value"))
     items = values.select("record_id", F.posexplode(value_items(F.col("value"))).alias("seq", "item"))
@@ -180,8 +180,15 @@ def register_strategy(name: str):
 
 
 def augment(records: DataFrame, triples: DataFrame, config: ClientConfig, domain: Domain, strategy: str = "connectivity", **options) -> tuple[DataFrame, DataFrame]:
+    """A strategy's (triples, log) over given triples.
+
+    Triples that are given count only within the domain's constraints for extraction.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(sorted(STRATEGIES))}")
+    limits = domain.constraints("extraction")
+    if limits.enforce:
+        triples = judge(triples, limits).where(F.size("reasons") == 0).select(*triples.columns)
     return STRATEGIES[strategy](records, triples, config, domain, **options)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from ..operators import graph
 from ..operators import triples as T
 from ..sources import readers, writers
 from . import augment as A
-from .domains import Domain, get_domain
+from .domains import Domain, get_domain, read_domain, register_domain
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,8 @@ class State:
     triples: DataFrame
     errors: DataFrame
     artifacts: dict[str, Any] = field(default_factory=dict)
+    #: Whether the extract step has run, so that a record without triples has none to be found.
+    extracted: bool = False
 
 
 Step = Callable[..., State]
@@ -57,18 +62,23 @@ class Settings:
 @register_step("extract")
 def extract_step(state: State, settings: Settings, **_: Any) -> State:
     found, errors = A.extract(state.records, settings.client, settings.domain)
-    return replace(state, triples=T.append(state.triples, found), errors=state.errors.unionByName(errors))
+    return replace(state, triples=T.append(state.triples, found), errors=state.errors.unionByName(errors), extracted=True)
 
 
 @register_step("augment")
 def augment_step(state: State, settings: Settings, strategy: str = "connectivity", **options: Any) -> State:
+    """Refines the triples; records that have none yet, and no error, are extracted first."""
+    bare = state.records.join(state.triples.select("record_id").distinct(), "record_id", "left_anti")
+    if not state.extracted and not bare.isEmpty():
+        found, errors = A.extract(bare, settings.client, settings.domain)
+        state = replace(state, triples=T.append(state.triples, found), errors=state.errors.unionByName(errors), records=state.records.join(errors.select("record_id"), "record_id", "left_anti"))
     triples, log = A.augment(state.records, state.triples, settings.client, settings.domain, strategy, **options)
     return replace(state, triples=triples, artifacts=state.artifacts | {strategy: log})
 
 
 @register_step("export-json")
 def export_step(state: State, settings: Settings, **_: Any) -> State:
-    table = writers.triples_json(state.triples)
+    table = writers.triples_json(state.triples, state.records)
     if settings.output:
         writers.write_files(table, f"{settings.output}/json", ".json")
     return replace(state, artifacts=state.artifacts | {"json": table})
@@ -83,35 +93,22 @@ def convert_step(state: State, settings: Settings, **_: Any) -> State:
     return replace(state, artifacts=state.artifacts | {"nodes": nodes, "edges": edges, "graphml": table})
 
 
-def _network_page(rows: Any) -> Any:
-    for record_id, elements in rows:
-        yield record_id, writers.html(record_id, f'<script type="application/json" id="elements">{elements.replace("<", chr(92) + "u003c")}</script>')
-
-
 @register_step("visualize-network")
-def network_step(state: State, settings: Settings, **_: Any) -> State:
+def network_step(state: State, settings: Settings, dark_mode: bool = False, layout: str = "spring", **_: Any) -> State:
+    """A page for each record with triples; nodes carry their community."""
     nodes, edges = graph.graph(state.triples)
-    n = graph.node_elements(nodes, edges).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "degree", "origin"))).alias("nodes"))
-    e = graph.edge_elements(edges).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("id", "source", "target", "label", "edge_class"))).alias("edges"))
-    table = n.join(e, "record_id", "left").select("record_id", F.to_json(F.struct("nodes", "edges")).alias("elements"))
+    table = graph.view(nodes, edges)
     if settings.output:
-        pages = table.rdd.mapPartitions(_network_page).toDF("record_id string, html string")
-        writers.write_files(pages, f"{settings.output}/network", ".html")
+        writers.write_files(writers.network_pages(table, dark_mode, layout), f"{settings.output}/network", ".html")
     return replace(state, artifacts=state.artifacts | {"elements": table})
 
 
-def _text_page(rows: Any) -> Any:
-    for record_id, text, spans in rows:
-        yield record_id, writers.text_page(record_id, text or "", [(s["start"], s["end"], s["class"], s["description"]) for s in spans or []])
-
-
 @register_step("visualize-extraction")
-def extraction_view_step(state: State, settings: Settings, group_by: str = "entity_type", **_: Any) -> State:
+def extraction_view_step(state: State, settings: Settings, group_by: str = "entity_type", dark_mode: bool = False, **_: Any) -> State:
+    """A page for each record, also for those without spans."""
     spans = T.entity_spans(state.triples, state.records, group_by)
     if settings.output:
-        listed = spans.groupBy("record_id").agg(F.collect_list(F.struct("start", "end", "class", "description")).alias("spans"))
-        pages = state.records.select("record_id", "text").join(listed, "record_id").rdd.mapPartitions(_text_page).toDF("record_id string, html string")
-        writers.write_files(pages, f"{settings.output}/text", ".html")
+        writers.write_files(writers.text_pages(state.records, state.triples, spans, dark_mode), f"{settings.output}/text", ".html")
     return replace(state, artifacts=state.artifacts | {"spans": spans})
 
 
@@ -141,6 +138,38 @@ def summary(state: State) -> DataFrame:
     return n.join(bad).join(t)
 
 
+def first_errors(state: State) -> DataFrame:
+    """(record_id, step, message): each failed record's first error, in the order of its run, as records stop at it."""
+    return state.errors.groupBy("record_id").agg(F.min(F.struct("step", "message")).alias("e")).select("record_id", "e.step", "e.message")
+
+
+def write_metadata(state: State, settings: Settings, seconds: float, path: str) -> dict[str, Any]:
+    """Writes a run's client, domain, counts and duration as a JSON file of one row's size on the driver; the key of a client is left out."""
+    row = summary(state).first()
+    client = {k: v for k, v in asdict(settings.client).items() if k not in ("api_key", "options")}
+    said = {"client": client, "domain": settings.domain.name, "mode": "constrained" if settings.domain.constrained else "open", "seconds": round(seconds, 3), **row.asDict()}
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(said, file, ensure_ascii=False, indent=2)
+    return said
+
+
+#: The folder of the pipeline files that come with the library.
+CONFIGS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "configs")
+
+
+def list_pipelines(folder: str = CONFIGS) -> list[tuple[str, str]]:
+    """(name, description) of a folder's pipeline files in the order of their names; a file that is no pipeline has its own name and no description."""
+    out = []
+    for name in sorted(x for x in os.listdir(folder) if x.endswith((".yaml", ".yml"))):
+        try:
+            raw = load_config(os.path.join(folder, name))
+        except Exception:  # noqa: BLE001 - a listing shows what it can
+            raw = {}
+        out.append((str(raw.get("name") or os.path.splitext(name)[0]), str(raw.get("description") or "")))
+    return out
+
+
 def load_config(path: str) -> dict[str, Any]:
     """A pipeline file: YAML with steps."""
     import yaml
@@ -156,7 +185,23 @@ def run_config(spark: SparkSession, raw: dict[str, Any], **overrides: Any) -> St
     """Runs a pipeline file; overrides take the place of what it says at the top level."""
     raw = raw | {k: v for k, v in overrides.items() if v is not None}
     source = raw.get("input") or {}
+    if not source.get("file"):
+        raise ValueError("a pipeline needs an input file")
     rows = readers.read_table(spark, source["file"])
     records = readers.load_records(rows, source.get("text_field", "text"), source.get("id_field", "id"), source.get("record_ids"), source.get("limit"))
-    settings = Settings(A.to_config(raw.get("client") or {}), get_domain(raw.get("domain", "default"), raw.get("mode", "open")), raw.get("output_dir"))
-    return run(start(records), raw["steps"], settings)
+    if raw.get("domain_folder"):
+        register_domain(read_domain(raw["domain_folder"], raw.get("domain"), prompt=raw.get("prompt")))
+    domain = get_domain(raw.get("domain", "default"), raw.get("mode", "open"))
+    if raw.get("prompt") and not raw.get("domain_folder"):
+        with open(raw["prompt"], encoding="utf-8") as file:
+            domain = replace(domain, prompts={k: v for k, v in domain.prompts.items() if k != "extraction_constrained"} | {"extraction": file.read().strip()})
+    settings = Settings(A.to_config(raw.get("client") or {}), domain, raw.get("output_dir"))
+    state = start(records)
+    if raw.get("triples"):
+        saved = readers.read_triples(spark, raw["triples"]).join(records.select("record_id"), "record_id", "left_semi")
+        state = replace(state, triples=T.normalize(saved).checkpoint())
+    began = time.monotonic()
+    state = run(state, raw["steps"], settings)
+    if settings.output:
+        write_metadata(state, settings, time.monotonic() - began, f"{settings.output}/run.json")
+    return state

@@ -247,7 +247,7 @@ FROM ea JOIN ta USING (record_id, component)""",
     "neighborhood": f"WITH {_GT} SELECT record_id, src AS node FROM edges WHERE src = 'the' OR dst = 'the' UNION SELECT record_id, dst FROM edges WHERE src = 'the' OR dst = 'the'",
     "search_nodes": f"WITH {_GT}, h AS (SELECT record_id, node FROM n WHERE contains(lower(node), 'th')), b AS (SELECT record_id, src AS x, dst AS y FROM edges UNION SELECT record_id, dst, src FROM edges), a AS (SELECT record_id, node, true AS m FROM h UNION ALL SELECT b.record_id, y, false FROM b JOIN h ON h.record_id = b.record_id AND h.node = x) SELECT record_id, node, bool_or(m) AS is_match FROM a GROUP BY 1, 2",
     "shortest_path": f"WITH RECURSIVE {_T}, e AS (SELECT DISTINCT record_id, head AS a, tail AS b FROM t), p AS (SELECT record_id, min(a) AS node, 0 AS hops FROM e GROUP BY 1 UNION SELECT p.record_id, e.b, hops + 1 FROM p JOIN e ON e.record_id = p.record_id AND e.a = p.node WHERE hops < 50) SELECT record_id, node, CAST(min(hops) AS INTEGER) AS hops FROM p GROUP BY 1, 2",
-    "node_elements": f"WITH {_GT} SELECT n.record_id, n.node AS id, CASE WHEN length(n.node) > 25 THEN substring(n.node, 1, 25) || '...' ELSE n.node END AS label, coalesce(degree, 0) AS degree, coalesce(origin, 'extracted') AS origin, coalesce(degree, 0) >= 3 AS show_label FROM n LEFT JOIN deg USING (record_id, node) LEFT JOIN org USING (record_id, node)",
+    "node_elements": f"WITH {_GT} SELECT n.record_id, n.node AS id, CASE WHEN length(n.node) > 25 THEN substring(n.node, 1, 25) || '...' ELSE n.node END AS label, n.node AS full_label, coalesce(degree, 0) AS degree, coalesce(origin, 'extracted') AS origin, coalesce(degree, 0) >= 3 AS show_label FROM n LEFT JOIN deg USING (record_id, node) LEFT JOIN org USING (record_id, node)",
     "edge_elements": f"WITH {_GT} SELECT record_id, 'e' || edge_seq AS id, src AS source, dst AS target, relation AS label, inference, CASE WHEN inference = 'contextual' THEN 'augmented' ELSE 'extracted' END AS edge_class FROM edges",
     "entity_spans": f"WITH {_SPANS} SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY seq, pos) - 1 AS INTEGER) AS idx, x AS entity, start, CAST(start + length(x) AS INTEGER) AS \"end\", CASE WHEN pos = 0 THEN 'Head' ELSE 'Tail' END || ' Entity' || CASE WHEN inference = 'contextual' THEN ' (Augmented)' ELSE '' END AS class FROM o",
     "span_classes": f"WITH {_SPANS} SELECT relation || CASE WHEN pos = 0 THEN ' (source)' ELSE ' (target)' END AS class, count(*) AS n FROM o GROUP BY 1",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_ocr
+
 TRIPLE = "struct<head:string,relation:string,tail:string,inference:string,justification:string>"
 FORMATS = {".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".parquet": "parquet"}
 
@@ -28,6 +30,27 @@ def detect_format(path: str) -> str:
     raise DataLoadError("unsupported format", path)
 
 
+def _line_of(spark: SparkSession, path: str, bad: str) -> tuple[str, int | None]:
+    """The file of path and the line in it, from 1, where bad first stands: two counts over the lines, of which none comes to the driver."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(place.alias("at"), "value")
+    first = lines.where(F.trim("value") == F.trim(F.lit(bad))).agg(F.min("at")).first()[0]
+    if first is None:
+        return path, None
+    before = lines.where((F.col("at.file") == first.file) & ((F.col("at.block") < first.block) | ((F.col("at.block") == first.block) & (F.col("at.n") < first.n))))
+    return first.file if first.file.rstrip("/").split("/")[-1] != path.rstrip("/").split("/")[-1] else path, before.count() + 1
+
+
+def clean_ocr_jsonl(spark: SparkSession, path: str, output: str | None = None, fields: Sequence[str] = ("text", "reasoning", "title")) -> str:
+    """Repairs the broken words in fields of a JSONL file or folder and writes it as a JSONL folder: all fields, nulls and order kept; the folder's name, by default path with .cleaned.jsonl for its ending."""
+    output = output or f"{path.rstrip('/').rsplit('.', 1)[0]}.cleaned.jsonl"
+    rows = read_table(spark, path)
+    kinds = dict(rows.dtypes)
+    done = rows.withColumns({c: clean_ocr(F.col(c)) for c in fields if kinds.get(c) == "string"})
+    done.write.mode("overwrite").option("ignoreNullFields", "false").json(output)
+    return output
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a file or folder, by its format."""
     kind = detect_format(path)
@@ -36,7 +59,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if kind == "csv":
         return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).na.fill("")
     if kind == "json":
-        first = spark.read.text(path, wholetext=True).select(F.substring(F.regexp_replace("value", r"^[\s﻿]+", ""), 1, 1)).first()
+        first = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.substring(F.regexp_replace("value", r"^[\s﻿]+", ""), 1, 1).alias("c")).where("c <> ''").first()
         if first is None or first[0] != "[":
             raise DataLoadError("the top level must be an array", path)
         return spark.read.json(path, multiLine=True)
@@ -45,8 +68,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         rows = rows.cache()
         bad = rows.where("_bad IS NOT NULL").select("_bad").first()
         if bad:
-            lines = spark.read.text(path, wholetext=True).first()[0].split("\n")
-            raise DataLoadError("invalid JSON", path, next((i for i, x in enumerate(lines, 1) if x.strip() == bad[0].strip()), None))
+            raise DataLoadError("invalid JSON", *_line_of(spark, path, bad[0]))
         rows = rows.drop("_bad")
     return rows
 
