@@ -158,6 +158,21 @@ def test_pii_field(docs, spark):
     assert kept.text == "mail <email> now" and kept.n_chars == len(kept.text)
 
 
+def test_pii_secrets(spark):
+    key, value = "AKIA" + "Q7" * 8, "b7db7aa4a5fcc783"
+    cases = {f"use {key}, then": [(4, 24)], f"password={value} x": [(9, 25)], f"API_KEY: '{value}'": [(10, 26)], "the secret: everything that matters": [], "password=short1": [], f"x{key}": [], "secret=secret=" * 5000: []}
+    for text, want in cases.items():
+        assert [(s, e) for s, k, e in pii.secret_spans(text) if pii.KINDS[k] == "secret"] == want, text[:40]
+    field = pii.SkipChainField().fit([f"word password={value[:-2]}{i:02d} and more, mail a{i}@b.example, {i} of {2000 + i}" for i in range(60)])
+    text = f"password={value} was set; {value} again, in 2019"
+    base, spans = field.label([text])[0]
+    assert base == [] and [text[s:e] for s, k, e in spans] == [value, value] and {pii.KINDS[k] for _, k, _ in spans} == {"secret"}
+    rows = spark.createDataFrame([(1, text), (2, "nothing in 2019"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_secret, r.n_spans, r.base_sha256 == hashlib.sha256(b"").hexdigest()) for r in pii.find_pii(rows, field).collect()}
+    assert got == {1: (2, 2, True), 2: (0, 0, True), 3: (0, 0, True)}
+    assert pii.redact(rows, field).where("doc_id = 1").first().text == "password=<secret> was set; <secret> again, in 2019"
+
+
 def test_wavelet():
     ids = np.random.default_rng(2).integers(0, 300, 700_000).astype(np.uint16)
     bounds = np.array([0, 0, 1, 5000, 700_000])

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded
 
-KINDS = ("email", "ip", "card", "phone")
+#: The contract's kinds, which have base spans, and secrets, which are all of our own.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
 #: Labels of the field: none, then the kinds.
 LABELS = ("none", *KINDS)
 NONE = 0
@@ -27,6 +30,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 _EDGE = ".,;:!?\"'()[]{}<>"
+# How keys of well-known services begin and go on, and names that a secret is given to. A value holds a digit and no = or :, so that a run of names is read once.
+_KEYS = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|(?:api|access|private)[_-]?key)[\"']?[\x20]?[=:][\x20]?[\"']?((?=[a-z_./+-]*[0-9])[a-z0-9_./+-]{8,})")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -76,6 +82,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, SECRET, end) of keys and of the values that are given to the names of secrets, in order, none overlapping."""
+    found = {m.span() for m in _KEYS.finditer(text)} | ({m.span(1) for m in _NAMED.finditer(text)} if "=" in text or ":" in text else set())
+    out: list[tuple[int, int, int]] = []
+    for start, end in sorted(found):
+        if not out or start >= out[-1][2]:
+            out.append((start, SECRET, end))
+    return out
+
+
 @dataclass
 class Tokens:
     """The tokens of a text that hold a digit or an @; no other can have a label."""
@@ -105,7 +121,7 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> Tokens:
 
 
 #: The features of a token's shape, as in `shape`, of itself and of its neighbours.
-N_SHAPE = 20
+N_SHAPE = 22
 
 
 def shape(word: str) -> list[int]:
@@ -130,6 +146,10 @@ def shape(word: str) -> list[int]:
         out.append(18)
     if digits and digits + word.count("-") == len(word) and "-" in word:
         out.append(19)
+    if digits and letters and len(word) >= 16:
+        out.append(20)
+    if "=" in word or ":" in word:
+        out.append(21)
     return out
 
 
@@ -151,9 +171,12 @@ N_FEATURES = 3 * N_SHAPE + 1
 
 
 def keys_of(word: str) -> list[str]:
-    """What makes two tokens similar: the same letters and digits, or the same last seven digits."""
+    """What makes two tokens similar: the same letters and digits, in all of them or after the last = or :, or the same last seven digits."""
     plain = "".join(c for c in word.lower() if c.isalnum())
     out = ["=" + plain] if len(plain) >= 4 else []
+    value = "".join(c for c in re.split("[=:]", word.lower())[-1] if c.isalnum())
+    if len(value) >= 8 and value != plain:
+        out.append("=" + value)
     digits = _digits(word)
     if len(digits) >= 7:
         out.append("#" + digits[-7:])
@@ -174,7 +197,7 @@ class SkipChainField:
         labels: list[int] = []
         pairs = np.full((len(LABELS), len(LABELS)), 1.0)
         for text in texts:
-            tokens = tokens_of(text, base_spans(text))
+            tokens = tokens_of(text, sorted(base_spans(text) + secret_spans(text)))
             mine = [max(0, x) for x in tokens.labels]
             rows += features(tokens)
             labels += mine
@@ -246,9 +269,10 @@ class SkipChainField:
         return p / p.sum(axis=1, keepdims=True)
 
     def label(self, texts: list[str], least: float = 0.5) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-        """For each text its base spans and all spans: neighbouring tokens of one label, where the patterns say nothing, are one more span."""
+        """For each text its base spans and all spans: those of secrets, and neighbouring tokens of one label, where the patterns say nothing, as one more span."""
         base = [base_spans(t) for t in texts]
-        all_tokens = [tokens_of(t, b) for t, b in zip(texts, base, strict=True)]
+        known = [sorted(b + secret_spans(t)) for t, b in zip(texts, base, strict=True)]
+        all_tokens = [tokens_of(t, k) for t, k in zip(texts, known, strict=True)]
         nodes: list[list[int]] = []
         fixed: list[int] = []
         chain: list[tuple[int, int]] = []
@@ -287,7 +311,7 @@ class SkipChainField:
         out = []
         p = self.marginals(nodes, np.array(fixed), np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2), np.array(near), np.array(group)) if nodes else np.zeros((0, len(LABELS)))
         best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
-        for tokens, spans, first in zip(all_tokens, base, firsts, strict=True):
+        for tokens, spans, sure, first in zip(all_tokens, base, known, firsts, strict=True):
             more: list[list[int]] = []
             if tokens.words and min(tokens.labels) < 0:
                 for i, (start, end) in enumerate(tokens.spans):
@@ -299,7 +323,7 @@ class SkipChainField:
                         more[-1][2:] = [end, i]
                     else:
                         more.append([start, kind - 1, end, i])
-            out.append((spans, sorted(spans + [tuple(m[:3]) for m in more])))
+            out.append((spans, sorted(sure + [tuple(m[:3]) for m in more])))
         return out
 
 
@@ -322,22 +346,24 @@ def fit_field(docs: DataFrame, rows: int = TRAIN_ROWS) -> SkipChainField:
 
 
 def find_pii(docs: DataFrame, field: SkipChainField, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """docs' columns with n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans, starts, kinds and ends.
+    """docs' columns with n_email, n_ip, n_card, n_phone (base spans of each kind), n_secret, n_spans (all spans of any kind), base_sha256, spans, starts, kinds and ends.
 
-    The base spans are those of the contract's patterns over the whole text; the field adds spans of tokens
+    The base spans are those of the contract's patterns over the whole text. Secrets are spans of our own: keys
+    of known forms and values given to names such as password. The field adds spans of tokens
     that the patterns leave alone, from their shape, their neighbours, and similar tokens anywhere in the
     same document. Offsets count code points, ends are exclusive. A null text is as an empty one: no spans,
     and the hash of an empty string. Repeated rows give repeated results; an empty table gives an empty
     result; columns of docs with a result's name are replaced. A document's work is linear in its length.
     """
-    made = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "starts", "kinds", "ends")
+    made = ("n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_spans", "base_sha256", "spans", "starts", "kinds", "ends")
     docs = docs.drop(*made)
     at = docs.columns.index("text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (some for whole in batches for some in bounded(whole, at, batch_bytes)):
             results = field.label([t or "" for t in batch.column(at).to_pylist()])
-            counts = [[sum(k == kind for _, k, _ in base) for base, _ in results] for kind in range(len(KINDS))]
+            counts = [[sum(k == kind for _, k, _ in base) for base, _ in results] for kind in range(len(BASE_KINDS))]
+            counts += [[sum(k == SECRET for _, k, _ in spans) for _, spans in results], [len(spans) for _, spans in results]]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
@@ -352,7 +378,7 @@ def find_pii(docs: DataFrame, field: SkipChainField, batch_bytes: int = BATCH_BY
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(found, f"{fields}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, starts array<int>, kinds array<string>, ends array<int>")
+    return docs.mapInArrow(found, f"{fields}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, n_spans bigint, base_sha256 string, spans string, starts array<int>, kinds array<string>, ends array<int>")
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
