@@ -22,7 +22,7 @@ KEPT_WORDS = 3 << 18
 #: Bytes of a kept match at most; together with KEPT_WORDS this bounds what is broadcast.
 KEPT_BYTES = 48
 #: Bytes of text that a worker takes at once, and bytes of a match from which on a heap finds the next merge.
-BATCH_BYTES, LONG = 1 << 20, 1_024
+BATCH_BYTES, LONG = 1 << 18, 1_024
 #: Characters that are cut into words at once where they are counted.
 COUNTED_CHARS = 1 << 20
 #: The rank of a pair that does not merge; ranks are below.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, give_back
 
 #: The contract's kinds, which have base spans, and secrets, which are all of our own.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -376,6 +376,7 @@ def find_pii(docs: DataFrame, field: SkipChainField, batch_bytes: int = BATCH_BY
                 ],
                 names=[*batch.schema.names, *made],
             )
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(found, f"{fields}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, n_spans bigint, base_sha256 string, spans string, starts array<int>, kinds array<string>, ends array<int>")
@@ -410,6 +411,7 @@ def redact(docs: DataFrame, field: SkipChainField) -> DataFrame:
             if size is not None:
                 columns[size] = pa.array([None if t is None else len(t) for t in new], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        give_back()
 
     docs = docs if size is None else docs.withColumn("n_chars", F.col("n_chars").cast("bigint"))
     return docs.mapInArrow(masked, docs.schema)
