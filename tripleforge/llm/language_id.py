@@ -178,6 +178,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> ByteCnn
     x = [windows(r.passage.encode())[:2] for r in got]
     y = np.concatenate([[labels.index(r.lang)] * len(c) for r, c in zip(got, x, strict=True)])
     model.train(np.concatenate(x), y)
+    give_back()
     return model
 
 

@@ -342,7 +342,9 @@ def fit_field(docs: DataFrame, rows: int = TRAIN_ROWS) -> SkipChainField:
     start = F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - TRAIN_CHARS // 4)
     some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit(17)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(SALTS)).alias("salt"), F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
     first = some.withColumn("n", F.row_number().over(Window.partitionBy("salt").orderBy("h", "text"))).where(F.col("n") <= max(1, rows // SALTS))
-    return SkipChainField().fit([r.text for r in sorted(first.select("h", "text").collect())])
+    field = SkipChainField().fit([r.text for r in sorted(first.select("h", "text").collect())])
+    give_back()
+    return field
 
 
 def find_pii(docs: DataFrame, field: SkipChainField, batch_bytes: int = BATCH_BYTES) -> DataFrame:
