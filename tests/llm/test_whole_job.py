@@ -1,5 +1,6 @@
 """Long and odd inputs that an operator must take whole."""
 
+import gc
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tripleforge.llm import mixing, ngram_join, pii, token_files
+from tripleforge.llm import byte_bpe, common, mixing, ngram_join, pii, token_files
 
 
 def test_mixing_cuts_a_long_document(spark):
@@ -49,3 +50,37 @@ def test_encoder_gives_added_tokens_their_own_ids():
     ids, n = encoder.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x.ids, 0] for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(pa.array(texts[:1]))[0].tolist() == [50256, 0]
+
+
+def test_longs_are_the_values_given(spark):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 65, 100_000):  # the last in several pieces
+        values = rng.integers(-(2**63), 2**63 - 1, n)
+        assert spark.range(1).select(byte_bpe.longs(spark, values).alias("x")).first().x == values.tolist()
+
+
+def test_materialize_tidies_a_grown_heap(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    used = lambda: beans.getMemoryMXBean().getHeapMemoryUsage().getUsed() >> 20
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    spark._jvm.System.gc()
+    least = used()
+    for _ in range(8):
+        spark.sparkContext._gateway.new_array(spark._jvm.long, 1 << 22)  # 32 MB each, which the next collection of Python's drops
+    gc.collect()
+    assert common.materialize(spark.range(3), "tidy").count() == 3
+    assert used() < least + 100
+
+
+@pytest.mark.parametrize("edges, rounds", [([(1, x) for x in range(2, 40)], 1), ([(x, x + 1) for x in range(1, 40)], None), ([(5, 5), (7, 3), (3, 9), (9, 8)], None)])
+def test_components_end_at_stars(spark, monkeypatch, edges, rounds):
+    made = []
+    plain = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: made.append(name) or plain(df, name))
+    got = dict(common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert rounds is None or len(made) == 1 + rounds

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .atoms import AtomTable, hashes, joined, starts, text_bytes
-from .common import bounded, give_back, materialized
+from .common import bounded, give_back, materialized, tidy
 
 #: Matches of the pattern whose ids are folded once for the whole corpus and looked up at most; the others are folded where they stand.
 KEPT_WORDS = 3 << 18
@@ -23,6 +23,8 @@ KEPT_WORDS = 3 << 18
 KEPT_BYTES = 48
 #: Bytes of text that a worker takes at once, and bytes of a match from which on a heap finds the next merge.
 BATCH_BYTES, LONG = 1 << 18, 1_024
+#: Bytes of a literal that go to the driver's JVM at once.
+PIECE_BYTES = 1 << 18
 #: Characters that are cut into words at once where they are counted.
 COUNTED_CHARS = 1 << 20
 #: The rank of a pair that does not merge; ranks are below.
@@ -113,6 +115,26 @@ def constants(spark: SparkSession, **values: tuple[object, str]) -> dict[str, Co
     return out
 
 
+def longs(spark: SparkSession, values: np.ndarray) -> Column:
+    """values as a literal array<bigint> in Spark's compact binary form.
+
+    Its block (size, null bits, values) goes to the driver's JVM in pieces, straight to its place: no text, row or
+    second copy of it is made there, and no job runs.
+    """
+    jvm = spark._jvm
+    block = np.concatenate([[len(values)], np.zeros(-(-len(values) // 64)), values], dtype=np.int64, casting="unsafe")
+    place, data = spark.sparkContext._gateway.new_array(jvm.long, len(block)), block.tobytes()
+    platform = jvm.org.apache.spark.unsafe.Platform
+    first, to = platform.BYTE_ARRAY_OFFSET, platform.LONG_ARRAY_OFFSET
+    for at in range(0, len(data), PIECE_BYTES):
+        piece = data[at : at + PIECE_BYTES]
+        platform.copyMemory(piece, first, place, to + at, len(piece))
+    array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData()
+    array.pointTo(place, to, len(data))
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>"))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 class ByteBpe:
     """A rank file's encoding and decoding as column expressions.
 
@@ -126,12 +148,7 @@ class ByteBpe:
         self.tokens = tokens
         table = RankTable(tokens)
         rank = {t: i for i, t in enumerate(tokens)}
-        self.table = constants(
-            spark,
-            slots=(table.slots.tolist(), "array<bigint>"),
-            displace=(table.displace.tolist(), "array<bigint>"),
-            bytes=([rank[bytes([i])] for i in range(256)], "array<bigint>"),
-        )
+        self.table = {"slots": longs(spark, table.slots), "displace": longs(spark, table.displace), "bytes": longs(spark, np.array([rank[bytes([i])] for i in range(256)]))}
 
     def ranks_of(self, t: Column, pairs: Column) -> Column:
         """The rank of each pair's merge, or NONE."""
@@ -327,6 +344,7 @@ def _encoded(docs: DataFrame, columns: Sequence[str], path: str, words: int) ->
     bpe = ByteBpe(spark, path)
     shared = spark.sparkContext.broadcast((kept_matches(docs, bpe, words), bpe.tokens))
     give_back()
+    tidy(spark)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(*shared.value)  # quick to make, and gone with the task: idle workers hold nothing
