@@ -169,3 +169,20 @@ def test_triples_of_odd_file_names(spark, tmp_path):
     for name in ("a+b", "100%", "r%201", "plain"):
         (tmp_path / f"{name}.json").write_text('[{"head": "h", "relation": "r", "tail": "t"}]')
     assert {r.record_id for r in readers.read_triples(spark, str(tmp_path)).collect()} == {"a+b", "100%", "r 1", "plain"}
+
+
+def test_limit_takes_the_first_by_id_or_by_file(spark, tmp_path):
+    documents = tmp_path / "documents.parquet"
+    rows = [(9, "a"), (None, "b"), (70, "c"), (5, "d")] + [(i, f"{i} " * 9) for i in range(400, 10, -1)]
+    for ids in (rows[:4], rows[4:]):  # the second file is larger, and so Spark reads it first
+        spark.createDataFrame(ids, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(documents))
+    got = Q.QUERIES["limit_records"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(Q.ORACLE_SQL["limit_records"].replace("documents", f"'{documents}/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    lines = tmp_path / "in.jsonl"
+    lines.mkdir()
+    (lines / "a.jsonl").write_text('{"id": 3, "text": "x"}\n{"id": 1, "text": "y"}\n')
+    (lines / "b.jsonl").write_text("".join(f'{{"id": {i}, "text": "{"z" * 99}"}}\n' for i in range(10, 60)))
+    got = readers.load_records(readers.read_table(spark, str(lines)), limit=3)
+    assert [r.record_id for r in got.collect()] == ["3", "1", "10"]
+    assert readers.load_records(spark.range(9).withColumn("text", F.lit("x")).repartition(3), limit=4).count() == 4

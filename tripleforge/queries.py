@@ -91,7 +91,7 @@ QUERIES = {
     "flagship": flagship,
     "load_records": lambda s, d: _records(s, d).select("record_id", F.length("text").cast("long").alias("n_text"), "source"),
     "filter_record_ids": lambda s, d: load_records(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text", "doc_id", IDS).select("record_id", "text"),
-    "limit_records": lambda s, d: load_records(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text", "doc_id", None, 25).select("record_id", "text"),
+    "limit_records": lambda s, d: load_records(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text", "doc_id", None, 25, "doc_id").select("record_id", "text"),
     "sanitize_control": lambda s, d: _records(s, d).select("record_id", X.sanitize_control(F.col("text")).alias("text")),
     "clean_ocr": lambda s, d: _records(s, d).select("record_id", X.clean_ocr(F.replace(F.col("text"), F.lit("th"), F.lit("th e tha t du ty"))).alias("text")),
     "normalize_labels": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", X.label_key(F.concat(F.lit(" "), "p_type", F.lit("-!"))).alias("label")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,19 +74,30 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def load_records(rows: DataFrame, text_field: str = "text", id_field: str = "id", record_ids: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
-    """rows with record_id and text: those of record_ids (none: all), the first limit of them in the order in which they are read (0 or none: all).
+def _places(rows: DataFrame) -> list[Column]:
+    """What orders rows as they stand in their files, these by name; rows of no file come as their partitions do. Spark reads larger files first."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    try:
+        rows.select(*place).schema  # noqa: B018
+    except AnalysisException:
+        place = []
+    return [*place, F.monotonically_increasing_id()]
+
+
+def load_records(rows: DataFrame, text_field: str = "text", id_field: str = "id", record_ids: Sequence[str] | None = None, limit: int | None = None, order_by: str | None = None) -> DataFrame:
+    """rows with record_id and text: those of record_ids (none: all), the first limit of them (0 or none: all) by the field order_by, nulls last, or else in the order of their files.
 
     Ids compare as strings. A missing field is an error; other columns stay.
     """
-    for field in (text_field, id_field):
+    for field in (text_field, id_field, *([order_by] if order_by else [])):
         if field not in rows.columns:
             raise DataLoadError(f"no field {field!r}", "records")
     kept = rows
     if record_ids:
         kept = kept.where(F.col(id_field).cast("string").isin([str(x) for x in record_ids]))
     if limit:
-        kept = kept.withColumn("_place", F.monotonically_increasing_id()).orderBy("_place").limit(limit).drop("_place")
+        places = {f"_place{i}": c for i, c in enumerate(_places(rows))}
+        kept = kept.withColumns(places).orderBy(*[F.col(c).asc_nulls_last() for c in ([order_by] if order_by else [])], *places).limit(limit).drop(*places)
     others = [c for c in rows.columns if c not in ("record_id", "text")]
     return kept.select(F.col(id_field).cast("string").alias("record_id"), F.col(text_field).cast("string").alias("text"), *others)
 
