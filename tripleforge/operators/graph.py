@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from .triples import is_augmented, mentions
 
 #: Edges of a record that one task joins at most; larger graphs go the distributed way.
 GROUP_EDGES = 200_000
+#: Rows from which on a task hands over the components of the records that it has joined.
+ROWS = 10_000
 
 
 def raw_edges(triples: DataFrame) -> DataFrame:
@@ -53,39 +58,61 @@ def origins(edges: DataFrame) -> DataFrame:
     return each.groupBy("record_id", "node").agg(F.when(F.bool_or("explicit"), "extracted").otherwise("augmented").alias("origin"))
 
 
-def _join_small(pdf: pd.DataFrame) -> pd.DataFrame:
+def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_id, node, component) of edges in which each record's stand together: a task holds the names of one record, and rows of several up to ROWS."""
     parent: dict[str, str] = {}
+    now: str | None = None
+    ids: list[str | None] = []
+    nodes: list[str] = []
+    roots: list[str] = []
 
     def root(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
         return x
 
-    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    nodes = sorted(parent)
-    return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "node": nodes, "component": [root(x) for x in nodes]})
+    def end() -> None:
+        ids.extend([now] * len(parent))
+        nodes.extend(parent)
+        roots.extend([root(x) for x in parent])
+        parent.clear()
+
+    def rows() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(x, pa.string()) for x in (ids, nodes, roots)], ["record_id", "node", "component"])
+        for x in (ids, nodes, roots):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for of, a, b in zip(*[batch.column(c).to_pylist() for c in ("record_id", "src", "dst")], strict=True):
+            if of != now:
+                end()
+                now = of
+                if len(ids) >= ROWS:
+                    yield rows()
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    end()
+    yield rows()
 
 
 def components(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(record_id, node, component): the least node that undirected edges reach.
 
-    A record with at most group_edges edges is one group of a grouped function; larger records take rounds of
-    the least label of neighbours and of the label's own label, each checkpointed where all executors see it,
-    until a round changes nothing.
+    edges are checkpointed. A task joins the records with at most group_edges edges one after the other; larger
+    records take rounds of the least label of neighbours and of the label's own label, each checkpointed where
+    all executors see it, until a round changes nothing.
     """
-    counts = edges.groupBy("record_id").agg(F.count("*").alias("_n"))
-    small = edges.join(counts.where(F.col("_n") <= group_edges), "record_id", "left_semi")
-    out = small.groupBy("record_id").applyInPandas(_join_small, "record_id string, node string, component string")
-    large = counts.where(F.col("_n") > group_edges).select("record_id")
-    if large.isEmpty():
+    edges = edges.select("record_id", "src", "dst").checkpoint()
+    large = edges.groupBy("record_id").agg(F.count("*").alias("_n")).where(F.col("_n") > group_edges).select("record_id")
+    none = large.isEmpty()
+    small = edges if none else edges.join(large, "record_id", "left_anti")
+    out = small.repartition("record_id").sortWithinPartitions("record_id").mapInArrow(_join_sorted, "record_id string, node string, component string")
+    if none:
         return out
     big = edges.join(large, "record_id", "left_semi")
-    both = big.select("record_id", "src", "dst").union(big.select("record_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
+    both = big.union(big.select("record_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = both.select("record_id", F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), ["record_id", "dst"]).groupBy("record_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
@@ -101,9 +128,9 @@ def component_summary(triples: DataFrame, found: DataFrame, most_entities: int =
     """Per component its sizes, first entities and first triples, with how many more there are."""
     member = mentions(triples).join(found.withColumnRenamed("node", "entity"), ["record_id", "entity"])
     at = member.groupBy("record_id", "component", "entity").agg(F.min(F.struct("seq", "pos")).alias("at"))
-    names = at.groupBy("record_id", "component").agg(F.count("*").alias("n_entities"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "entity"))), 1, most_entities), lambda r: r["entity"]).alias("e"))
+    names = at.groupBy("record_id", "component").agg(F.count("*").alias("n_entities"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "entity"))), 1, most_entities), lambda r: r["entity"]).alias("e"))
     rows = member.select("record_id", "component", "seq", F.concat(F.lit("("), "head", F.lit(") --["), "relation", F.lit("]--> ("), "tail", F.lit(")")).alias("s")).distinct()
-    lines = rows.groupBy("record_id", "component").agg(F.count("*").alias("n_triples"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "s"))), 1, most_triples), lambda r: r["s"]).alias("t"))
+    lines = rows.groupBy("record_id", "component").agg(F.count("*").alias("n_triples"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct("seq", "s"))), 1, most_triples), lambda r: r["s"]).alias("t"))
     more = lambda n, most: F.when(F.col(n) > most, F.concat(F.lit(" ... (+"), (F.col(n) - most).cast("string"), F.lit(" more)"))).otherwise("")
     return names.join(lines, ["record_id", "component"]).select("record_id", "component", "n_entities", "n_triples", F.concat(F.array_join("e", ", "), more("n_entities", most_entities)).alias("entities"), F.concat(F.array_join("t", "; "), more("n_triples", most_triples)).alias("triples"))
 
