@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tripleforge import queries as Q
 from tripleforge.clients import ClientConfig
 from tripleforge.operators import graph as G
 from tripleforge.plans import augment as A
@@ -63,3 +64,12 @@ def test_connectivity_makes_triples_once_and_asks_only_where_bridges_came(spark,
     done, log = A.connectivity(records, table, ClientConfig("rule"), get_domain("default"), max_disconnected=1, max_iterations=3)
     assert done.where("inference = 'contextual'").count() == 15 and done.count() == n + 15 and log.count() == 15
     assert made.value == n and sought == [30, 15]
+
+
+def test_flagship_makes_triples_once(spark, monkeypatch):
+    table, n = triples(spark, 30)
+    table, made = counted(spark, table)
+    monkeypatch.setattr(Q, "_triples", lambda s, d: table)
+    got = Q.flagship(spark, "").collect()
+    assert sorted((r.n_nodes, r.n_edges, r.n_components) for r in got) == [(2, 1, 1)] * 15 + [(4, 2, 2)] * 15
+    assert made.value == n

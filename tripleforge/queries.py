@@ -57,8 +57,9 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Per document the nodes, edges and components of its graph."""
-    nodes, edges = _graph(spark, d)
-    parts = G.components(edges.select("record_id", "src", "dst")).groupBy("record_id").agg(F.countDistinct("component").alias("n_components"))
+    nodes, edges = G.graph(_triples(spark, d).select(*CORE).checkpoint())
+    edges = edges.select("record_id", "src", "dst").checkpoint()
+    parts = G.components(edges).groupBy("record_id").agg(F.countDistinct("component").alias("n_components"))
     return G.stats(nodes, edges).join(parts, "record_id")
 
 
